@@ -227,6 +227,20 @@ class Encoder:
         get = self._known(cut).__getitem__
         return [sum(map(len, map(get, x))) for x in cut]
 
+    def subwords(self, word: str) -> int:
+        """The number of subwords of one short string, without the queue's fixed cost."""
+        total = 0
+        for token in self.pretokens(word):
+            parts = [token.encode("utf-8")[i : i + 1] for i in range(len(token.encode("utf-8")))]
+            while len(parts) > 1:
+                ranked = [self.ranks.get(a + b, 1 << 30) for a, b in zip(parts, parts[1:])]
+                if (low := min(ranked)) == 1 << 30:
+                    break
+                at = ranked.index(low)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            total += len(parts)
+        return total
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.cluster import read_table
-from folioscope.llm import bpe
+from folioscope.llm import bpe, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +16,22 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"))
 
 
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_places(read_table(spark, sf_dir, "document_chunks"), read_table(spark, sf_dir, "documents"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_lines(_places(spark, sf_dir))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redacted_chunks(read_table(spark, sf_dir, "document_chunks"), _places(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "p3_found": p3_found,
+        "p3_redacted": p3_redacted,
         "p6_ids": p6_ids,
     }
 
