@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.cluster import read_table
-from folioscope.llm import bpe, secrets
+from folioscope.llm import bpe, handwritten, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,10 +28,20 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted_chunks(read_table(spark, sf_dir, "document_chunks"), _places(spark, sf_dir))
 
 
+def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.unwritten_files(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "third_party_packages"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_reasons(spark, sf_dir).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Query]:
     return {
         "p3_found": p3_found,
         "p3_redacted": p3_redacted,
+        "p5_found": p5_found,
+        "p5_reasons": p5_reasons,
         "p6_ids": p6_ids,
     }
 
