@@ -32,6 +32,8 @@ PROSE_TYPES = ("document", "pdf", "docx", "doc")
 # Learned by fit_rules, not set by hand: each rule is a list of (statistic, comparison, threshold)
 # that must all hold for a document to be no prose; a document that no rule covers is prose.
 RULES: list[list[tuple[str, str, float]]] = [
+    [("common_words", "<=", 0.126984), ("mean_word_length", ">=", 1.952)],
+    [("words_per_line", "<=", 1.725)],
 ]
 
 
@@ -167,7 +169,7 @@ def _grow(x: np.ndarray, y: np.ndarray, most: int) -> list[tuple[int, int, float
     return rule
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7, most_rules: int = 12, most_conditions: int = 4) -> list[list[tuple[str, str, float]]]:
+def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 3, most_rules: int = 12, most_conditions: int = 4) -> list[list[tuple[str, str, float]]]:
     """Incremental reduced-error pruning over rows of FEATURES; ``y``: True where no prose."""
     rng = random.Random(seed)
     left = np.arange(len(y))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.cluster import read_table
-from folioscope.llm import bpe, handwritten, secrets
+from folioscope.llm import bpe, handwritten, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_reasons(spark, sf_dir).select("doc_id").distinct()
 
 
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_statistics(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words")).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p3_found": p3_found,
@@ -43,8 +51,32 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found,
         "p5_reasons": p5_reasons,
         "p6_ids": p6_ids,
+        "p8_found": p8_found,
+        "p8_stats": p8_stats,
     }
 
 
+_P8 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, t,
+    regexp_extract_all(regexp_replace(lower(t), '([\p{Han}\p{Hiragana}\p{Katakana}])', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}]+') AS w,
+    length(regexp_replace(t, '[\s\p{Z}\x0B]+', '', 'g')) AS ink,
+    length(regexp_replace(t, '[\s\p{Z}\x0B\p{L}\p{M}\p{N}]+', '', 'g')) AS symbols,
+    length(regexp_replace(t, '[^0-9]+', '', 'g')) AS digits,
+    len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\s\x0B]'))) AS n_lines,
+    len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[.!?…:;,。！？；：、][\x27"»”’)\]]*[ \t\r]*$'))) AS punctuated,
+    len(regexp_extract_all(t, '[\p{L}\p{N}][\x27"»”’)\]%]*[.!?](?:[\s\x0B]|$)|[。！？]')) AS ends
+  FROM t
+),
+c AS (SELECT list(DISTINCT lower(word)) AS common FROM common_words),
+n AS (
+  SELECT doc_id, w.*, len(w) AS n, length(list_aggregate(w, 'string_agg', '')) AS letters,
+    len(list_filter(w, x -> list_contains(c.common, x))) AS common_n
+  FROM w, c
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
