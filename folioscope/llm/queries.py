@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.cluster import read_table
-from folioscope.llm import bpe, handwritten, quality, secrets
+from folioscope.llm import bpe, handwritten, neardup, quality, secrets, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,14 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_places(read_table(spark, sf_dir, "document_chunks"), read_table(spark, sf_dir, "documents"))
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_oversized(read_table(spark, sf_dir, "document_chunks"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_ids(p2_pieces(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_lines(_places(spark, sf_dir))
 
@@ -28,6 +36,16 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted_chunks(read_table(spark, sf_dir, "document_chunks"), _places(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = neardup.near_duplicates(read_table(spark, sf_dir, "document_chunks"))
+    return neardup.expand_pairs(members, links)
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = neardup.near_duplicates(read_table(spark, sf_dir, "document_chunks"))
+    return neardup.groups(members, links)
+
+
 def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.unwritten_files(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "third_party_packages"))
 
@@ -46,8 +64,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p2_found": p2_found,
+        "p2_pieces": p2_pieces,
         "p3_found": p3_found,
         "p3_redacted": p3_redacted,
+        "p4_found": p4_found,
+        "p4_groups": p4_groups,
         "p5_found": p5_found,
         "p5_reasons": p5_reasons,
         "p6_ids": p6_ids,
@@ -79,4 +101,17 @@ n AS (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": "SELECT DISTINCT id AS chunk_id FROM document_chunks WHERE ceil(length(content) / 4.0) > 512",
+        "p8_stats": _P8
+        + """
+        SELECT doc_id, CAST(n AS BIGINT) AS word_count,
+          CASE WHEN n > 0 THEN round(letters / n, 6) ELSE 0.0 END AS mean_word_length,
+          CASE WHEN ink > 0 THEN round(symbols / ink, 6) ELSE 0.0 END AS symbol_ratio,
+          CASE WHEN n_lines > 0 THEN round(punctuated / n_lines, 6) ELSE 0.0 END AS punctuated_lines,
+          CASE WHEN n > 0 THEN round(common_n / n, 6) ELSE 0.0 END AS common_words,
+          CASE WHEN ink > 0 THEN round(digits / ink, 6) ELSE 0.0 END AS digit_ratio,
+          CASE WHEN n_lines > 0 THEN round(n / n_lines, 6) ELSE 0.0 END AS words_per_line,
+          CASE WHEN n > 0 THEN round(ends / n, 6) ELSE 0.0 END AS sentence_ends
+        FROM n""",
+    }
