@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.cluster import read_table
-from folioscope.llm import bpe, handwritten, neardup, quality, secrets, split
+from folioscope.llm import bpe, handwritten, neardup, quality, secrets, split, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,14 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_places(read_table(spark, sf_dir, "document_chunks"), read_table(spark, sf_dir, "documents"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.mutual_pairs(vectors.similar_neighbours(read_table(spark, sf_dir, "document_chunks"), least=0.9))
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.neighbours_of_queries(read_table(spark, sf_dir, "document_chunks"), F.col("id") % 20 == 0)
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(read_table(spark, sf_dir, "document_chunks"))
 
@@ -64,6 +73,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_neighbours": p1_neighbours,
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
         "p3_found": p3_found,
