@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.cluster import read_table
-from folioscope.llm import bpe, handwritten, neardup, quality, secrets, split, vectors
+from folioscope.llm import bpe, handwritten, neardup, packing, quality, secrets, split, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_reasons(spark, sf_dir).select("doc_id").distinct()
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_statistics(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words"))
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found,
         "p5_reasons": p5_reasons,
         "p6_ids": p6_ids,
+        "p7_containers": p7_containers,
         "p8_found": p8_found,
         "p8_stats": p8_stats,
     }
