@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.cluster import materialise, spread
@@ -32,11 +32,12 @@ SHINGLE = 3
 MIN_WORDS = 20
 THRESHOLD = 0.6
 #: Anchors a record and min-hashes an anchor: a pair at the threshold meets at one of them with
-#: probability 1 - (1 - 0.6**2)**14, above 0.998.
-BANDS, ROWS = 14, 2
-#: One-bit min-hashes: a pair at the threshold differs in 12.8 of 64 on average (sd 3.2).
-SKETCH_BITS = 64
-SKETCH_DISTANCE = 26
+#: probability 1 - (1 - 0.6**3)**21, above 0.993, a pair of similarity 0.7 with 0.9998.
+BANDS, ROWS = 21, 3
+#: Min-hashes; two bits of each make a sketch of 128 bits, of which a pair at the threshold
+#: differs in 25.6 on average (sd 5.3) and a pair without anything in common in 64.
+HASHES = 64
+SKETCH_DISTANCE = 44
 #: An anchor with more records is refined by the Golay code; t of the covering (see above).
 REFINE_OVER = 256
 HALF_DISTANCE = 3
@@ -65,7 +66,7 @@ class Hasher:
 
     def __init__(self, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> None:
         self.shingle, self.min_words = shingle, min_words
-        self.multiply, self.add = _parameters(SKETCH_BITS)
+        self.multiply, self.add = _parameters(HASHES)
         self.words: dict[str, int] = {}
 
     def shingles(self, text: str | None) -> np.ndarray | None:
@@ -86,15 +87,15 @@ class Hasher:
         return np.unique(_mix(s))
 
     def minhashes(self, s: np.ndarray) -> np.ndarray:
-        """SKETCH_BITS min-hashes of a set, in slices so that long sets need no large matrix."""
-        out = np.full(SKETCH_BITS, np.uint64(2**64 - 1))
+        """HASHES min-hashes of a set, in slices so that long sets need no large matrix."""
+        out = np.full(HASHES, np.uint64(2**64 - 1))
         for at in range(0, len(s), 4096):
             part = s[at : at + 4096]
             out = np.minimum(out, ((part[None, :] * self.multiply[:, None] + self.add[:, None]) ^ (part[None, :] >> np.uint64(32))).min(axis=1))
         return _mix(out)
 
 
-SIGNATURE = "id bigint, n_shingles int, set_key string, anchors array<bigint>, sketch bigint"
+SIGNATURE = "id bigint, n_shingles int, set_key string, anchors array<bigint>, sketch bigint, sketch2 bigint"
 
 
 def signatures(chunks: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
@@ -103,10 +104,10 @@ def signatures(chunks: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_W
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(shingle, min_words)
-        powers = np.uint64(1) << np.arange(SKETCH_BITS, dtype=np.uint64)
+        powers = np.uint64(1) << np.arange(HASHES, dtype=np.uint64)
         names = [x.split()[0] for x in SIGNATURE.split(", ")]
         for batch in batches:
-            ids, sizes, keys, anchors, sketches = [], [], [], [], []
+            ids, sizes, keys, anchors, sketches = [], [], [], [], ([], [])
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if (s := hasher.shingles(text)) is None:
                     continue
@@ -119,8 +120,9 @@ def signatures(chunks: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_W
                 sizes.append(len(s))
                 keys.append(xxhash.xxh128_hexdigest(s.tobytes()))
                 anchors.append(band.view(np.int64).tolist())
-                sketches.append(((m >> np.uint64(17) & np.uint64(1)) * powers).sum(dtype=np.uint64).astype(np.uint64).view(np.int64).item())
-            columns = zip((ids, sizes, keys, anchors, sketches), (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64()))
+                for held, bit in zip(sketches, (17, 41)):
+                    held.append(((m >> np.uint64(bit) & np.uint64(1)) * powers).sum(dtype=np.uint64).view(np.int64).item())
+            columns = zip((ids, sizes, keys, anchors, *sketches), (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=names)
 
     return spread(rows, "id").mapInArrow(run, SIGNATURE).dropDuplicates(["id"])
@@ -152,16 +154,16 @@ def _fingerprint(sketch: np.ndarray, band: np.ndarray) -> np.ndarray:
 
 
 def replicate(rows: DataFrame, half_distance: int = HALF_DISTANCE) -> DataFrame:
-    """Copies of ``(anchor, band, id, n_shingles, sketch)`` rows, one for each Golay code word
+    """Copies of ``(anchor, band, id, n_shingles, sketch, sketch2)`` rows, one for each Golay code word
     within covering radius plus ``half_distance`` of the fingerprint, with a column ``word``."""
-    schema = "anchor bigint, id bigint, n_shingles int, sketch bigint, word int"
+    schema = "anchor bigint, id bigint, n_shingles int, sketch bigint, sketch2 bigint, word int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns, bounds = golay_patterns(3 + half_distance)
         for whole in batches:
             for at in range(0, whole.num_rows, 5000):
                 batch = whole.slice(at, 5000)
-                anchor, band, key, size, sketch = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+                anchor, band, key, size, sketch, second = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
                 print_ = _fingerprint(sketch.astype(np.int64), band.astype(np.int64))
                 s = syndromes(print_)
                 counts = bounds[s + 1] - bounds[s]
@@ -169,11 +171,11 @@ def replicate(rows: DataFrame, half_distance: int = HALF_DISTANCE) -> DataFrame:
                 offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
                 word = print_[row] ^ patterns[bounds[s][row] + offset]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[row], pa.int64()), pa.array(key[row], pa.int64()), pa.array(size[row], pa.int32()), pa.array(sketch[row], pa.int64()), pa.array(word, pa.int32())],
-                    names=["anchor", "id", "n_shingles", "sketch", "word"],
+                    [pa.array(anchor[row], pa.int64()), pa.array(key[row], pa.int64()), pa.array(size[row], pa.int32()), pa.array(sketch[row], pa.int64()), pa.array(second[row], pa.int64()), pa.array(word, pa.int32())],
+                    names=["anchor", "id", "n_shingles", "sketch", "sketch2", "word"],
                 )
 
-    return rows.select("anchor", "band", "id", "n_shingles", "sketch").mapInArrow(run, schema)
+    return rows.select("anchor", "band", "id", "n_shingles", "sketch", "sketch2").mapInArrow(run, schema)
 
 
 def _meet(rows: DataFrame, threshold: float) -> DataFrame:
@@ -185,7 +187,7 @@ def _meet(rows: DataFrame, threshold: float) -> DataFrame:
         & (F.col("a.word") == F.col("b.word"))
         & (F.col("a.block") == F.col("b.block"))
         & (F.col("a.id") < F.col("b.id"))
-        & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= SKETCH_DISTANCE)
+        & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) + F.bit_count(F.col("a.sketch2").bitwiseXOR(F.col("b.sketch2"))) <= SKETCH_DISTANCE)
         & (low >= F.lit(threshold) * high)
     )
     return a.join(b, on).select(F.col("a.id").alias("rep_a"), F.col("b.id").alias("rep_b"))
@@ -196,7 +198,7 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     ``reps``: materialised rows of ``SIGNATURE`` (used several times).
     """
-    bands = reps.select(F.posexplode("anchors").alias("band", "anchor"), "id", "n_shingles", "sketch")
+    bands = reps.select(F.posexplode("anchors").alias("band", "anchor"), "id", "n_shingles", "sketch", "sketch2")
     counts = bands.groupBy("anchor").agg(F.count(F.lit(1)).alias("meeting")).where("meeting > 1")
     shared = materialise(bands.join(counts, "anchor"), "anchors")
     small = shared.where(F.col("meeting") <= REFINE_OVER).withColumns({"word": F.lit(-1), "block": F.lit("")})
@@ -211,14 +213,16 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.unionByName(_meet(blocks, threshold)).distinct()
 
 
-def shingle_set(content: Column, shingle: int = SHINGLE) -> Column:
-    """The exact set of shingle hashes of a content, as an expression."""
-    words = F.regexp_extract_all(F.lower(content), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    joined = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(words) - F.lit(shingle), F.lit(0))),
-        lambda i: F.xxhash64(F.array_join(F.slice(words, i + F.lit(1), F.lit(shingle)), " ")),
-    )
-    return F.array_distinct(joined)
+def shingle_sets(contents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``(id, s)``: the exact sets of shingle hashes of contents ``(id, content)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(shingle, 0)
+        for batch in batches:
+            sets = [hasher.shingles(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[] if s is None else s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "s"])
+
+    return contents.mapInArrow(run, "id bigint, s array<bigint>")
 
 
 def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -232,12 +236,12 @@ def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, shingle: in
     """
     signed = materialise(signatures(chunks, shingle, min_words), "signatures")
     classes = signed.groupBy("set_key").agg(F.min("id").alias("rep"))
-    members = materialise(signed.join(classes, "set_key").select("id", "rep", "n_shingles", "anchors", "sketch"), "members")
+    members = materialise(signed.join(classes, "set_key").select("id", "rep", "n_shingles", "anchors", "sketch", "sketch2"), "members")
     reps = members.where("id = rep").drop("rep")
     pairs = materialise(candidates(reps, threshold), "candidates")
     wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
     contents = chunks.where(F.col("content").isNotNull()).select(F.col("id").cast("bigint"), "content")
-    sets = materialise(contents.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", shingle_set(F.col("content"), shingle).alias("s")), "sets")
+    sets = materialise(shingle_sets(contents.join(wanted, "id", "left_semi").dropDuplicates(["id"]), shingle), "sets")
     both = F.size(F.array_intersect("sa", "sb"))
     links = (
         pairs.join(sets.select(F.col("id").alias("rep_a"), F.col("s").alias("sa")), "rep_a")

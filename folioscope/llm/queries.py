@@ -102,15 +102,15 @@ w AS (
     length(regexp_replace(t, '[\s\p{Z}\x0B]+', '', 'g')) AS ink,
     length(regexp_replace(t, '[\s\p{Z}\x0B\p{L}\p{M}\p{N}]+', '', 'g')) AS symbols,
     length(regexp_replace(t, '[^0-9]+', '', 'g')) AS digits,
-    len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\s\x0B]'))) AS n_lines,
-    len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[.!?…:;,。！？；：、][\x27"»”’)\]]*[ \t\r]*$'))) AS punctuated,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\s\x0B]'))) AS n_lines,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[.!?…:;,。！？；：、][\x27"»”’)\]]*[ \t\r]*$'))) AS punctuated,
     len(regexp_extract_all(t, '[\p{L}\p{N}][\x27"»”’)\]%]*[.!?](?:[\s\x0B]|$)|[。！？]')) AS ends
   FROM t
 ),
 c AS (SELECT list(DISTINCT lower(word)) AS common FROM common_words),
 n AS (
   SELECT doc_id, w.*, len(w) AS n, length(list_aggregate(w, 'string_agg', '')) AS letters,
-    len(list_filter(w, x -> list_contains(c.common, x))) AS common_n
+    len(list_filter(w, lambda x: list_contains(c.common, x))) AS common_n
   FROM w, c
 )
 """
