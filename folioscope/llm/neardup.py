@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.cluster import materialise, spread
+from folioscope.cluster import checked_broadcast, materialise, spread
 
 SHINGLE = 3
 MIN_WORDS = 20
@@ -95,7 +95,7 @@ class Hasher:
         return _mix(out)
 
 
-SIGNATURE = "id bigint, n_shingles int, set_key string, anchors array<bigint>, sketch bigint, sketch2 bigint"
+SIGNATURE = "id bigint, n_shingles int, set_key binary, anchors array<bigint>, sketch bigint, sketch2 bigint"
 
 
 def signatures(chunks: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
@@ -118,11 +118,11 @@ def signatures(chunks: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_W
                     band = _mix(band + joined[:, k])
                 ids.append(key)
                 sizes.append(len(s))
-                keys.append(xxhash.xxh128_hexdigest(s.tobytes()))
+                keys.append(xxhash.xxh128_digest(s.tobytes()))
                 anchors.append(band.view(np.int64).tolist())
                 for held, bit in zip(sketches, (17, 41)):
                     held.append(((m >> np.uint64(bit) & np.uint64(1)) * powers).sum(dtype=np.uint64).view(np.int64).item())
-            columns = zip((ids, sizes, keys, anchors, *sketches), (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64()))
+            columns = zip((ids, sizes, keys, anchors, *sketches), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=names)
 
     return spread(rows, "id").mapInArrow(run, SIGNATURE).dropDuplicates(["id"])
@@ -199,8 +199,9 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``reps``: materialised rows of ``SIGNATURE`` (used several times).
     """
     bands = reps.select(F.posexplode("anchors").alias("band", "anchor"), "id", "n_shingles", "sketch", "sketch2")
-    counts = bands.groupBy("anchor").agg(F.count(F.lit(1)).alias("meeting")).where("meeting > 1")
-    shared = materialise(bands.join(counts, "anchor"), "anchors")
+    # Most anchors have one record; only the anchors are shuffled to find that out.
+    counts = materialise(bands.groupBy("anchor").agg(F.count(F.lit(1)).alias("meeting")).where("meeting > 1"), "counts")
+    shared = materialise(bands.join(checked_broadcast(counts), "anchor"), "anchors")
     small = shared.where(F.col("meeting") <= REFINE_OVER).withColumns({"word": F.lit(-1), "block": F.lit("")})
     pairs = _meet(small, threshold)
     if shared.where(F.col("meeting") > REFINE_OVER).isEmpty():
@@ -235,11 +236,12 @@ def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, shingle: in
     are ignored; an empty table gives empty results.
     """
     signed = materialise(signatures(chunks, shingle, min_words), "signatures")
-    classes = signed.groupBy("set_key").agg(F.min("id").alias("rep"))
-    members = materialise(signed.join(classes, "set_key").select("id", "rep", "n_shingles", "anchors", "sketch", "sketch2"), "members")
-    reps = members.where("id = rep").drop("rep")
+    # Classes of several are few; all other records represent themselves.
+    classes = signed.groupBy("set_key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = signed.join(checked_broadcast(materialise(classes, "classes")), "set_key", "left").withColumn("rep", F.coalesce("first", "id"))
+    reps = members.where("id = rep").select("id", "n_shingles", "anchors", "sketch", "sketch2")
     pairs = materialise(candidates(reps, threshold), "candidates")
-    wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
+    wanted = checked_broadcast(materialise(pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct(), "wanted"))
     contents = chunks.where(F.col("content").isNotNull()).select(F.col("id").cast("bigint"), "content")
     sets = materialise(shingle_sets(contents.join(wanted, "id", "left_semi").dropDuplicates(["id"]), shingle), "sets")
     both = F.size(F.array_intersect("sa", "sb"))

@@ -117,7 +117,27 @@ n AS (
 
 
 def oracle_sql() -> dict[str, str]:
+    prose = quality.rules_to_sql(quality.RULES)
     return {
+        "p1_found": """
+        WITH v AS (SELECT DISTINCT id, embedding FROM document_chunks WHERE len(embedding) = 64
+            AND isfinite(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z::DOUBLE))) AND list_sum(list_transform(embedding, lambda z: abs(z::DOUBLE))) > 0),
+        e AS (SELECT id, embedding::DOUBLE[64] AS v FROM v),
+        s AS (SELECT a.id AS x, b.id AS y, array_cosine_similarity(a.v, b.v) AS c FROM e a, e b WHERE a.id <> b.id),
+        t AS (SELECT x, y, c FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(c, 12) DESC, y) AS n FROM s) WHERE n <= 10 AND c >= 0.9)
+        SELECT a.x AS id_a, a.y AS id_b FROM t a JOIN t b ON a.x = b.y AND a.y = b.x WHERE a.x < a.y""",
+        "p4_found": r"""
+        WITH w AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT id, content FROM document_chunks WHERE content IS NOT NULL)),
+        s AS (SELECT DISTINCT id, md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+        SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE both_ >= 0.6 * (x.n + y.n - both_)""",
+        "p8_found": _P8
+        + f"""
+        , f AS (SELECT n.doc_id, n AS word_count, CASE WHEN n > 0 THEN round(letters / n, 6) ELSE 0.0 END AS mean_word_length,
+          CASE WHEN n > 0 THEN round(common_n / n, 6) ELSE 0.0 END AS common_words, CASE WHEN n_lines > 0 THEN round(n / n_lines, 6) ELSE 0.0 END AS words_per_line
+          FROM n JOIN documents d USING (doc_id) WHERE d.document_type IN ('document', 'pdf', 'docx', 'doc') AND regexp_matches(d.text, '[^\\s\\p{{Z}}\\x{{FEFF}}]'))
+        SELECT doc_id FROM f WHERE {prose} > 0""",
         "p2_found": "SELECT DISTINCT id AS chunk_id FROM document_chunks WHERE ceil(length(content) / 4.0) > 512",
         "p8_stats": _P8
         + """
