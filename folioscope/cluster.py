@@ -54,3 +54,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(2 * cores, *keys)
+
+
+#: Rows of a narrow table (an id or key, perhaps a number) that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted and found small, else as it is, so that the
+    join shuffles.  Give it a materialised table with few narrow columns."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -72,12 +72,10 @@ def headline(query: WebQuery, text: str | None, analyzer: str = "english", most:
     if not spans:
         return ""
     best, at = -1, 0
-    for i in range(max(1, len(spans) - least + 1)):
-        if marks[i] is None and i:
-            continue
-        n = len({t for t in marks[i : i + most] if t})
+    for i, mark in enumerate(marks):
+        n = len({t for t in marks[i : i + most] if t}) if mark or not i else -1
         if n > best:
-            best, at = n, i
+            best, at = n, max(0, min(i, len(spans) - least))
     end = min(at + most, len(spans))
     while end - at > least and spans[end - 1][1] - spans[end - 1][0] <= short and marks[end - 1] is None:
         end -= 1

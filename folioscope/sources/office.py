@@ -223,9 +223,11 @@ def text_strings(data: bytes, least: int = 4) -> list[str]:
     """P10: runs of printable text in a binary, UTF-16LE at even offsets first, then ASCII; with
     three letters or digits and these being 40 % or more; once each, in order."""
     out: list[str] = []
-    units = data[: len(data) // 2 * 2].decode("utf-16-le", errors="replace")
-    for m in re.finditer(r"[\t\n\r\x20-\x7e\xa0-ɏ]{%d,}" % least, units):
-        out.append(m.group())
+    for m in re.finditer(rb"(?:[\t\n\r\x20-\x7e]\x00)+", data):
+        # Runs begin at even offsets; one found at an odd offset is high and low bytes swapped.
+        text = m.group()[::2].decode("ascii") if m.start() % 2 == 0 else ""
+        if len(text) >= least:
+            out.append(text)
     for m in re.finditer(rb"[\t\n\r\x20-\x7e]{%d,}" % least, data):
         out.append(m.group().decode("ascii"))
     kept = []

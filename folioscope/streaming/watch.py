@@ -72,14 +72,14 @@ class _Reader(SimpleDataSourceStreamReader):
         now = datetime.now(timezone.utc)
         gone = [(p, DELETE) for p in sorted(a.keys() - b.keys())]
         new = [(p, UPSERT) for p in sorted(b) if a.get(p) != b[p]]
-        for k, (path, op) in enumerate(gone + new):
-            yield path, op, now, n * 1_000_000_000 + k
+        # Spark copies this iterator, so it is one over a list.
+        return iter([(path, op, now, n * 1_000_000_000 + k) for k, (path, op) in enumerate(gone + new)])
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         n = start["n"]
         before, now = self._load(n), self._list()
         if before == now:
-            return iter(()), start
+            return iter([]), start
         self._save(n + 1, now)
         return self._changes(before, now, n + 1), {"n": n + 1}
 
