@@ -17,11 +17,13 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.cluster import spread
+
 #: A word: one ideograph or kana, else a run of letters and digits (with inner marks).
-WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|(?:(?![\p{IsHan}\p{IsHiragana}\p{IsKatakana}])[\p{L}\p{M}\p{N}])+"
+WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+"
 LINE_END = r"(?m)[.!?…:;,。！？；：、]['\"»”’)\]]*[ \t\r]*$"
 FEATURES = ("word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "digit_ratio", "words_per_line", "sentence_ends")
 #: Most common words that are held as a literal set; the table has a fixed size of about 400.
@@ -50,13 +52,13 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, id_col: str =
     - ``digit_ratio``, ``words_per_line``, ``sentence_ends`` (full stops and the like after a
       word, a word): further statistics that the rules may use
 
-    All are rounded to 6 digits.  No shuffle.
+    All are rounded to 6 digits.  No shuffle, unless the scan has fewer splits than there are cores.
     """
     words = [r[0] for r in common_words.select(F.lower("word")).where("word is not null").distinct().limit(MAX_COMMON + 1).collect()]
     if len(words) > MAX_COMMON:
         raise ValueError(f"more than {MAX_COMMON} common words")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("_t"))
+    base = spread(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("_t")), "doc_id")
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 6)).otherwise(F.lit(0.0))
     found = base.select(
         "doc_id",

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.cluster import spread
 from folioscope.llm.bpe import DEFAULT_VOCABULARY, encoder_of, vocabulary_bytes
 
 #: Characters per subword below which a value counts as unnatural.
@@ -295,7 +296,7 @@ def secret_places(chunks: DataFrame, documents: DataFrame, vocabulary: str = DEF
             names = ["chunk_id", "document_id", "line_no", "start", "end", "kind", "bare"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    found = rows.mapInArrow(run, "chunk_id bigint, document_id bigint, line_no bigint, start bigint, end bigint, kind string, bare boolean")
+    found = spread(rows, "id").mapInArrow(run, "chunk_id bigint, document_id bigint, line_no bigint, start bigint, end bigint, kind string, bare boolean")
     paths = documents.select(F.col("doc_id").cast("bigint").alias("document_id"), is_code(F.col("path")).alias("in_code")).where("in_code")
     return (
         found.distinct()
