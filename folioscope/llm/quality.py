@@ -104,7 +104,10 @@ def not_prose(documents: DataFrame, common_words: DataFrame, rules: list[list[tu
     """
     scope = documents.where(F.col("document_type").isin(*PROSE_TYPES) & F.col("text").rlike(r"[^\s\p{Z}\x{FEFF}]"))
     stats = text_statistics(scope, common_words)
-    return stats.select("doc_id", F.expr(rules_to_sql(RULES if rules is None else rules)).alias("rule")).where("rule > 0").distinct()
+    ruled = stats.select("doc_id", F.expr(rules_to_sql(RULES if rules is None else rules)).alias("rule"))
+    # Filtered behind an aggregate: a filter right here would be pushed down, and each statistic
+    # in it computed anew wherever the CASE names it.
+    return ruled.groupBy("doc_id").agg(F.max("rule").alias("rule")).where("rule > 0")
 
 
 # --- learning -------------------------------------------------------------------------------
