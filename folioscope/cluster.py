@@ -39,7 +39,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     branches reuse one result without computing it again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/folioscope/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/folioscope-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)  # with the application, not before: results may read it lazily
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
