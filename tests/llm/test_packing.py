@@ -23,8 +23,8 @@ def test_plan_is_a_packing(histogram, lengths):
         x.sort()
         assert x[0][0] == 0 and all(p[1] == q[0] for p, q in zip(x, x[1:])) and x[-1][1] <= length[b]
         assert length[b] == min(y for y in lengths if y >= x[-1][1])
-    total = sum(s * n for s, n in histogram.items())
-    assert len(spans) <= 1.25 * total / 64 + 1 or min(histogram, default=0) > 16
+    if lengths == (64,) and len(spans) > 1:  # any two bins of a fit algorithm hold more than one could
+        assert sum(sorted(x[-1][1] for x in spans.values())[:2]) > 64
 
 
 def test_table(spark):
