@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(one) == F.size(two)) & (below > 0), dot / below)
 
 
+def cosine_to(a: Column, vector: list[float]) -> Column:
+    """Cosine with a known vector, whose norm is computed once and not for each row."""
+    one, two = a.cast("array<double>"), F.array(*(F.lit(float(x)) for x in vector))
+    dot = F.aggregate(F.zip_with(one, two, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    below = F.sqrt(F.aggregate(one, F.lit(0.0), lambda s, x: s + x * x)) * F.lit(math.sqrt(sum(float(x) * float(x) for x in vector)))
+    return F.when((F.size(one) == len(vector)) & (below > 0), dot / below)
+
+
 def clamp01(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 

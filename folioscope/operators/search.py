@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.cluster import spread
 from folioscope.functions import text as X
 from folioscope.functions.analyze import WebQuery, english_postings, parse_web_query, positions, simple_tokens
 from folioscope.functions.rank import cover_density, headline, matches
@@ -77,7 +78,7 @@ def full_text_scores(chunks: DataFrame, query: WebQuery, analyzer: str = "englis
         low = F.lower("content")
         for w in query.words:
             rows = rows.where(low.contains(w))
-        tokens = rows.select("id", "document_id", simple_tokens(F.col("content")).alias("_w"))
+        tokens = spread(rows, "id").select("id", "document_id", simple_tokens(F.col("content")).alias("_w"))
         for w in query.words:
             tokens = tokens.where(F.array_contains("_w", w))
         scored = tokens.select(F.col("id").alias("chunk_id"), "document_id", _simple_score(query, F.col("_w")).alias("fts_rank"))
@@ -102,7 +103,7 @@ def full_text_scores(chunks: DataFrame, query: WebQuery, analyzer: str = "englis
             out["fts_rank"] = [cover_density(query, h) for h, k in zip(held, keep) if k]
             yield out
 
-    return rows.where(some).mapInPandas(run, "chunk_id bigint, document_id bigint, fts_rank double").dropDuplicates(["chunk_id"])
+    return spread(rows.where(some), "id").mapInPandas(run, "chunk_id bigint, document_id bigint, fts_rank double").dropDuplicates(["chunk_id"])
 
 
 def _dress(top: DataFrame, chunks: DataFrame, documents: DataFrame, headline_of: Callable | None = None) -> DataFrame:
@@ -147,8 +148,7 @@ def text_search(chunks: DataFrame, documents: DataFrame, query: SearchQuery, ana
 def semantic_top(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float], limit: int | None = None) -> DataFrame:
     """The best chunks by cosine with ``vector``; chunks whose embedding is null, of another
     length, zero or not finite are no candidates."""
-    wanted = F.array(*(F.lit(float(x)) for x in vector))
-    rows = chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") == len(vector))).select(F.col("id").alias("chunk_id"), "document_id", X.cosine(F.col("embedding"), wanted).alias("similarity"))
+    rows = chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") == len(vector))).select(F.col("id").alias("chunk_id"), "document_id", X.cosine_to(F.col("embedding"), vector).alias("similarity"))
     scored = rows.where(F.col("similarity").isNotNull() & ~F.isnan("similarity")).dropDuplicates(["chunk_id"])
     joined = scored.join(_documents(documents, query), "document_id").select("chunk_id", "document_id", "path", "filename", "document_type", "similarity")
     return joined.orderBy(F.desc(F.round("similarity", 9)), "chunk_id").limit(limit or query.top)
