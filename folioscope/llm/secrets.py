@@ -61,7 +61,8 @@ URL_PASSWORD = re.compile(r"\b[a-z][a-z0-9+.\-]{1,20}://(?:[^\s:/@\"'<>]*):(?P<v
 URL_PARAMETER = re.compile(r"[?&](?:api_?key|access_?token|auth_?token|auth|key|token|secret|sig|signature|code|pwd|password|client_secret|subscription-key)=(?P<value>[^\s&\"'`<>)#]{6,})", re.I)
 BEARER = re.compile(r"\b(?P<scheme>Bearer|Basic|Token)[ \t]+(?P<value>[A-Za-z0-9+/=_.\-~:]{12,})")
 WEB_TOKEN = re.compile(r"(?<![A-Za-z0-9_\-])(?P<value>eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})")
-AS_THE = re.compile(r"(?P<value>[^\s\"'`<>]{8,})[\"'`]?\s+(?:as|is|=)\s+(?:the|our|its|an?|your)?\s*(?:\w+\s+){0,2}?(?:" + PASSWORD_NAMES + "|" + KEY_NAMES + r"|key)\b", re.I)
+#: Begins at the beginning of a word only, so that a very long word is read once.
+AS_THE = re.compile(r"(?<![^\s\"'`<>])(?P<value>[^\s\"'`<>]{8,})[\"'`]?\s+(?:as|is|=)\s+(?:the|our|its|an?|your)?\s*(?:\w+\s+){0,2}?(?:" + PASSWORD_NAMES + "|" + KEY_NAMES + r"|key)\b", re.I)
 COMMENT = re.compile(r"//|--|#|/\*|<!--|^\s*(?:\*|'|;|REM\b)")
 SETTING = re.compile(r"[;\"'`?&][ \t]*$")
 BLOCK_REST = re.compile(r"\A(?P<value>(?:[ \t]*[A-Za-z0-9+/=]{1,100}[ \t]*\r?\n)*[A-Za-z0-9+/= \t]*)-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
