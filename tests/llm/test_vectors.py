@@ -65,6 +65,20 @@ def test_least_similarity_equals_brute_force(spark, monkeypatch):
     assert pairs == {(a, b) for a, b in got if a < b and (b, a) in got}
 
 
+def test_tight_cluster_equals_brute_force(spark):
+    """More different vectors than any list holds, closer together than half precision tells apart."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((900, 64))
+    x[:700] = x[0] / np.linalg.norm(x[0]) + rng.standard_normal((700, 64)) * 0.0003
+    x = x.astype(np.float32).astype(np.float64)
+    c, top = _brute(x, 10)
+    assert c[:700, :700][~np.eye(700, dtype=bool)].min() > 0.99998
+    want = {(i, int(j)) for i in range(len(x)) for j in top[i] if c[i, j] >= 0.9}
+    near = vectors.similar_neighbours(_frame(spark, x), 0.9)
+    assert {(r.id, r.neighbour) for r in near.collect()} == want
+    assert {(r.id_a, r.id_b) for r in vectors.mutual_pairs(near).collect()} == {(a, b) for a, b in want if a < b and (b, a) in want}
+
+
 def test_dirt_ties_and_copies(spark):
     one = [1.0] + [0.0] * 63
     two = [1.0, 0.01] + [0.0] * 62
