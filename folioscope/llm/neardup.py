@@ -43,8 +43,6 @@ REFINE_OVER = 256
 HALF_DISTANCE = 3
 #: Records of one anchor and code word that one comparison block holds.
 BLOCK = 2048
-#: Classes of more exact copies than that are linked to their representative only.
-EXPAND_COPIES = 500
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 _GOLAY = 0b101011100011  # fixed value: generator polynomial of the binary Golay code, degree 11
@@ -254,23 +252,28 @@ def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, shingle: in
     return members.select("id", "rep"), materialise(links, "links")
 
 
-def expand_pairs(members: DataFrame, links: DataFrame, copies: int = EXPAND_COPIES) -> DataFrame:
+def expand_pairs(members: DataFrame, links: DataFrame, copies: int | None = None) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``: all pairs of linked chunks.
 
-    Members of linked classes are paired with each other, copies within a class too; but in
-    classes of more than ``copies`` each copy is paired with the class's representative only, and
-    stands for it in links to other classes (so nothing grows with the square of a class, and
-    each link between different texts is there).
+    Members of linked classes are paired with each other, and those of a class too, so the result
+    grows with the square of a class.  A class of more than ``BLOCK`` members is met in slices, so
+    no task makes all its pairs.  With ``copies``, a summary: in classes of more members each is
+    paired with the class's representative only, which stands for it in links to other classes.
     """
-    sized = members.join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")), "rep")
-    speak = sized.where((F.col("n") <= copies) | (F.col("id") == F.col("rep"))).select("id", "rep")
-    between = links.select("rep_a", "rep_b").join(speak.select(F.col("id").alias("x"), F.col("rep").alias("rep_a")), "rep_a").join(speak.select(F.col("id").alias("y"), F.col("rep").alias("rep_b")), "rep_b").select("x", "y")
-    several = sized.where("n > 1")
-    few = several.where(F.col("n") <= copies)
-    within = few.select(F.col("id").alias("x"), "rep").join(few.select(F.col("id").alias("y"), "rep"), "rep").where("x < y").select("x", "y")
-    star = several.where((F.col("n") > copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
-    pairs = between.unionByName(within).unionByName(star)
-    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    sized = members.join(sizes, "rep")
+    whole = F.lit(True) if copies is None else F.col("n") <= copies
+    speak = sized.where(whole | (F.col("id") == F.col("rep")))
+    own = sizes.where((F.col("n") > 1) & whole).select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"))
+    slices = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    meet = links.select("rep_a", "rep_b").unionByName(own).distinct().join(sizes.select(F.col("rep").alias("rep_b"), slices.alias("slices")), "rep_b")
+    meet = meet.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    left = speak.select(F.col("id").alias("x"), F.col("rep").alias("rep_a"))
+    right = speak.select(F.col("id").alias("y"), F.col("rep").alias("rep_b"), F.pmod(F.xxhash64("id"), slices).cast("int").alias("slot"))
+    pairs = meet.join(left, "rep_a").join(right, ["rep_b", "slot"]).where("rep_a <> rep_b or x < y").select("x", "y")
+    if copies is not None:
+        pairs = pairs.unionByName(sized.where(~whole & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y")))
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def groups(members: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -77,6 +77,18 @@ def test_copies_and_dirt(spark):
     assert sorted(r.id for r in members.collect()) == [0, 1, 2, 3, 7, 8]
 
 
+@pytest.mark.parametrize("block", [2048, 100])
+def test_large_class_is_paired_in_full(spark, monkeypatch, block):
+    """Different layouts of one text share a class; each is a text of its own, with links of its own."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    base = _texts(11, 1, 0)[0]
+    texts = [base + "!" * i for i in range(503)] + [base + " tail", base + " tail."]
+    members, links = neardup.near_duplicates(_frame(spark, texts))
+    assert members.select("rep").distinct().count() == 2
+    got = [(r.id_a, r.id_b) for r in neardup.expand_pairs(members, links).collect()]
+    assert len(got) == len(set(got)) == 505 * 504 // 2 and all(a < b for a, b in got)
+
+
 def test_chain_is_one_group(spark):
     rng = random.Random(2)
     w = [rng.choice(WORDS) + str(i) for i in range(100)]
