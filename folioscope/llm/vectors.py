@@ -12,10 +12,10 @@ Two plans share that search.
 
 - With a stated query set, blocks of queries meet blocks of the other rows, so every row can be
   reached; the test stops each search within a block, and each query's best are merged.
-- With a least similarity the radius of interest is bounded, the test stops early for all queries,
-  and a search needs to look near by only: kd-trees over several independent projections cut the
-  rows into cells, each row is searched for in its cells, and a pair is missed only if all trees
-  separate it.  No pair of cells is compared.
+- With a least similarity the radius of interest is bounded, so the chi-square quantile is a fixed
+  threshold on projected distances and nothing is searched incrementally: kd-trees over several
+  independent projections cut the rows into leaves, the pairs within a leaf pass the threshold and
+  are verified, and a pair is missed only if all trees separate it.  No two leaves are compared.
 
 Vectors with equal directions form one class that is searched once.
 """
