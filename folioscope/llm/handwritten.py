@@ -105,7 +105,7 @@ class Layout:
         self.comment_share = counts["comment"] / (ink + counts["comment"]) if ink else 1.0
         lines = sum(skeletons.values())
         self.uniform = sum(n for _, n in skeletons.most_common(UNIFORM_SKELETONS)) / lines if lines else 0.0
-        self.banner = "\n".join(banner)[:2000]
+        self.banner = "\n".join(banner)
 
     @property
     def expansion(self) -> float:
@@ -137,7 +137,7 @@ def reason(path: str | None, text: str | None, packages: re.Pattern | None) -> s
     lines = sum(x.skeletons.values())
     if lines >= UNIFORM_LINES and x.uniform >= UNIFORM_SHARE:
         return "generated"
-    if x.banner and MARKER.search(x.banner[:600]) and x.uniform >= 0.5:
+    if x.banner and MARKER.search(x.banner) and x.uniform >= 0.5:
         return "generated"
     return None
 

@@ -54,3 +54,12 @@ def test_table(spark):
     packages = spark.createDataFrame([("zipkit",), (None,)], "package_name string")
     assert sorted((r.doc_id, r.reason) for r in H.unwritten_files(docs, packages).collect()) == [(1, "minified"), (3, "generated"), (4, "vendored")]
     assert H.unwritten_files(docs.limit(0), packages.limit(0)).count() == 0
+
+
+def test_whole_leading_comment_is_searched():
+    licence = "\n".join(f"// Line {i} of a long notice about the terms of use." for i in range(60)) + "\n"
+    mixed = GENERATED + "\nlet a = 1;\nif (a) b();\nfor (;;) c[0]++;\nd.e(f, 2);\nwhile (g) { h(); }\n"
+    assert H.Layout(mixed).uniform < H.UNIFORM_SHARE
+    assert H.reason("/p/src/a.ts", licence + mixed, PACKAGES) is None
+    assert H.reason("/p/src/a.ts", licence + "// Code generated by emit. DO NOT EDIT.\n" + mixed, PACKAGES) == "generated"
+    assert H.reason("/p/src/A.cs", licence + "// charto v1.2, copyright its authors\n" + HAND, PACKAGES) == "vendored"
