@@ -39,7 +39,7 @@ PUBLIC_NAMES = re.compile(r"(?:public|verify|cancellation|csrf|xsrf|antiforgery|
 
 NAME = re.compile(rf"(?:(?P<password>{PASSWORD_NAMES})|(?P<key>{KEY_NAMES}))(?P<count>\d{{0,2}})(?![A-Za-z0-9_]|-[A-Za-z])", re.I)
 #: Kept simple for the JVM: no content without one of these can hold a finding.
-PREFILTER = r"(?i)pass|pwd|kennwort|contrase|senha|パスワード|密码|secret|token|key|credential|\bpat\b|_pat|authorization|://|eyJ"
+PREFILTER = r"(?i)pass|pwd|kennwort|contrase|senha|パスワード|密码|secret|token|key|credential|pat(?![a-z])|authorization|://|eyJ|(?-i:Bearer|Basic)[ \t]|[?&](?:auth|sig|signature|code)="
 
 QUOTED = r"(?P<prefix>[@$NnbfruR]{0,2})(?P<quote>[\"'`])"
 ASSIGN = re.compile(r"[\"'`]?\s?\]?\s{0,40}(?:=>|:=|=(?!=)|:(?!:))")
@@ -64,7 +64,7 @@ WEB_TOKEN = re.compile(r"(?<![A-Za-z0-9_\-])(?P<value>eyJ[A-Za-z0-9_\-]{8,}\.[A-
 #: Begins at the beginning of a word only, so that a very long word is read once.
 AS_THE = re.compile(r"(?<![^\s\"'`<>])(?P<value>[^\s\"'`<>]{8,})[\"'`]?\s+(?:as|is|=)\s+(?:the|our|its|an?|your)?\s*(?:\w+\s+){0,2}?(?:" + PASSWORD_NAMES + "|" + KEY_NAMES + r"|key)\b", re.I)
 COMMENT = re.compile(r"//|--|#|/\*|<!--|^\s*(?:\*|'|;|REM\b)")
-SETTING = re.compile(r"[;\"'`?&][ \t]*$")
+SETTING = ";\"'`?&"
 BLOCK_REST = re.compile(r"\A(?P<value>(?:[ \t]*[A-Za-z0-9+/=]{1,100}[ \t]*\r?\n)*[A-Za-z0-9+/= \t]*)-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?P<value>.*?)(?:-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
 
@@ -88,9 +88,7 @@ REST = "private_key_rest"
 
 
 def ratio(value: str, encoder) -> float:
-    """Characters per subword; values of no subword count as natural.  Beyond 256 characters the
-    mean over the first ones decides, as for any string of that kind."""
-    value = value[:256]
+    """Characters per subword; values of no subword count as natural."""
     n = encoder.subwords(value)
     return len(value) / n if n else 99.0
 
@@ -230,6 +228,7 @@ def find_secrets(text: str, encoder) -> list[Finding]:
         v = m["value"]
         if not PLACEHOLDER.match(v) and not re.match(r"\$[A-Z_]+$|\$\{", v) and len(v) >= 5 and (ratio(v, encoder) < PASSWORD_RATIO or _kinds(v) >= 3):
             add(Finding([m.span("value")], "password"))
+    line_begin, mark = 0, None
     for m in NAME.finditer(text):
         name = "password" if m["password"] else "key"
         before = text[max(0, m.start() - 24) : m.start()]
@@ -237,9 +236,17 @@ def find_secrets(text: str, encoder) -> list[Finding]:
             continue
         new = _after_name(text, m.end(), name, encoder)
         if new and new.bare:
-            line = text[max(0, text.rfind("\n", 0, m.start()) + 1, m.start() - 400) : m.start()]
+            begin = text.rfind("\n", line_begin, m.start()) + 1
+            if begin > line_begin or mark is None:  # the first mark of each line is sought once
+                line_begin = max(begin, line_begin)
+                end = text.find("\n", m.start())
+                first = COMMENT.search(text[line_begin : end if end >= 0 else len(text)])
+                mark = line_begin + first.end() if first else len(text) + 1
+            at = m.start()
+            while at > line_begin and text[at - 1] in " \t":
+                at -= 1
             # A setting of a connection string or URL, or a comment, is no expression.
-            new.bare = not (SETTING.search(line) and text[m.end() : m.end() + 1] == "=" or COMMENT.search(line))
+            new.bare = not (at > line_begin and text[at - 1] in SETTING and text[m.end() : m.end() + 1] == "=" or mark <= m.start())
         add(new)
     for m in URL_PARAMETER.finditer(text):
         if suspicious(m["value"], "key", False, encoder):

@@ -78,3 +78,18 @@ def test_tables(spark):
     out = {r.chunk_id: r for r in secrets.redacted_chunks(chunks, places).collect()}
     assert len(out) == 7 and out[10].content == bare and KEY not in out[11].content and out[14].content is None and out[15].content == "" and out[12].n_secrets == 1
     assert secrets.secret_lines(secrets.secret_places(chunks.limit(0), docs)).count() == 0
+
+
+def test_nothing_narrows_the_patterns(spark, encoder):
+    texts = [f"curl -H 'X: Bearer {KEY}'", f"GET /x?sig={KEY}", f"a?code={KEY}", f'githubPat = "{KEY}"']
+    chunks = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "id bigint, document_id bigint, content string")
+    documents = spark.createDataFrame([(1, "/p/a.md")], "doc_id bigint, path string")
+    found = secrets.secret_places(chunks, documents)
+    assert {r.chunk_id for r in found.collect()} == {i for i, t in enumerate(texts) if secrets.find_secrets(t, encoder)} == {0, 1, 2, 3}
+    far = "x" * 20 + " y" * 400
+    (one,) = secrets.find_secrets(f"first\n// {far} CLIENT_SECRET={KEY}\n", encoder)
+    assert not one.bare
+    (two,) = secrets.find_secrets(f"// first\n{far} CLIENT_SECRET={KEY}\n", encoder)
+    assert two.bare
+    value = KEY * 8 + "the natural words of a long sentence " * 20
+    assert secrets.ratio(value, encoder) == len(value) / encoder.subwords(value)
