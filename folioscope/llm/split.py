@@ -65,26 +65,39 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     step = limit - overlap
     count = 1 + -(-(n - limit) // step)
     while True:
-        size = (n + (count - 1) * overlap) / count
+        # A boundary far from its target may leave the later targets out of reach; then near ones only.
+        for far in (True, False):
+            if spans := _spans(text, limit, overlap, count, far):
+                return spans
+        count += 1
+
+
+def _spans(text: str, limit: int, overlap: int, count: int, far: bool) -> list[tuple[int, int]] | None:
+    """The spans of so many pieces, if the cuts work out; far: where no boundary is near its
+    target, one anywhere that the piece may end goes before a cut without boundary."""
+    n, step = len(text), limit - overlap
+    size = (n + (count - 1) * overlap) / count
+    spans, start, base, done = [], 0, 0, 0
+    for k in range(1, count):
         reach = min(REACH * size, max(size - overlap - 1, 0))
-        spans, start = [], 0
-        for k in range(1, count):
-            target = round(k * size - (k - 1) * overlap)
-            last = start + limit
-            # The rest must fit into the pieces that are left, and each piece must move on.
-            least = max(start + overlap + 1, n - limit - (count - 1 - k) * step)
-            low, high = max(least, round(target - reach)), min(last, n - 1, round(target + reach))
-            cut = _snap(text, low, high, target)
+        target = round(base + (k - done) * size - (k - done - 1) * overlap)
+        last = start + limit
+        # The rest must fit into the pieces that are left, and each piece must move on.
+        least = max(start + overlap + 1, n - limit - (count - 1 - k) * step)
+        low, high = max(least, round(target - reach)), min(last, n - 1, round(target + reach))
+        cut = _snap(text, low, high, target)
+        if cut is None:
+            if low > high:
+                return None
+            cut = _snap(text, max(least, n + overlap - limit - (count - 1 - k) * step), min(last, n - 1), target) if far else None
             if cut is None:
-                if low > high:
-                    break
-                cut = min(max(target, low), high)  # no boundary near: an even cut
-            spans.append((start, cut))
-            start = cut - overlap
-        else:
-            if n - start <= limit:
-                return [*spans, (start, n)]
-        count += 1
+                cut = min(max(target, low), high)  # no boundary at all: an even cut
+            else:  # the rest is balanced anew
+                base, done = cut - overlap, k
+                size = (n - base + (count - k - 1) * overlap) / (count - k)
+        spans.append((start, cut))
+        start = cut - overlap
+    return [*spans, (start, n)] if n - start <= limit else None
 
 
 def split_oversized(chunks: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> DataFrame:

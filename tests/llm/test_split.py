@@ -44,3 +44,11 @@ def test_table(spark):
     assert all(r.line_start is None for r in out if r.chunk_id == 5)
     assert one[0].content + "".join(r.content[192:] for r in one[1:]) == long
     assert split.split_oversized(df.limit(0)).count() == 0
+
+
+def test_boundary_far_from_target_goes_before_an_even_cut():
+    for at in (699, 1999):
+        text = "a" * at + " " + "b" * (4199 - at)
+        spans = split.cut_points(text, 2048, 192)
+        assert spans[0] == (0, at + 1) and len(spans) == 3 and spans[-1][1] == 4200
+        assert all(b - a <= 2048 for a, b in spans) and all(y[0] == x[1] - 192 for x, y in zip(spans, spans[1:]))
