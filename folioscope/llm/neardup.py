@@ -1,23 +1,25 @@
 """Problem 4: near-duplicate records by anchor-point covering.
 
-A record's set of word shingles is reduced to min-hashes.  Two or more min-hashes joined are a
-coarse anchor (a point of the space of min-hash vectors whose other coordinates are free); records
-meet at the anchors that they share.  An anchor where many records meet is refined by a covering
-code: the [23,12] Golay code has covering radius 3, so each 23-bit fingerprint lies within 3 of a
-code word, and two fingerprints at a distance of up to 2t have a point between them within t of
-both, so they meet at a code word within 3 + t of both.  Each fingerprint is replicated to every
-code word within that radius and compared only with those that meet it there.  A small anchor
-needs no split: its code is the trivial one with a single word.
+A record's set of word shingles is reduced to min-hashes.  A record has ``TABLES`` fingerprints: 23
+bits, one of each of 23 min-hashes, beside a coarse key of ``COARSE`` further min-hashes joined.
+The anchors of a fingerprint are the code words of the [23,12] Golay code, whose covering radius is
+3: each fingerprint lies within 3 of exactly one code word, and two fingerprints at a distance of up
+to 2t have a point between them within t of both, so they share a code word within 3 + t.  So each
+fingerprint is replicated to every code word within covering radius plus ``HALF_DISTANCE``, under its
+coarse key, and compared only with the fingerprints that meet it there.  Records alone under a
+coarse key have nobody to meet and aren't replicated; all others are, on tables of any size.
 
 Records with equal shingle sets are one class, compared once.  Candidates are verified by the
-exact Jaccard similarity of their sets.  Nothing is capped: larger anchors are only cut finer, and
-where nearly equal records still crowd at one code word, it is compared in square blocks.
+exact Jaccard similarity of their sets.  Nothing is capped: where nearly equal records crowd at one
+anchor, it is compared in square blocks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +33,26 @@ from folioscope.cluster import checked_broadcast, materialise, spread
 SHINGLE = 3
 MIN_WORDS = 20
 THRESHOLD = 0.6
-#: Anchors a record and min-hashes an anchor: a pair at the threshold meets at one of them with
-#: probability 1 - (1 - 0.6**3)**21, above 0.993, a pair of similarity 0.7 with 0.9998.
-BANDS, ROWS = 21, 3
-#: Min-hashes; two bits of each make a sketch of 128 bits, of which a pair at the threshold
-#: differs in 25.6 on average (sd 5.3) and a pair without anything in common in 64.
-HASHES = 64
+#: Fingerprints a record, and joined min-hashes of a coarse key.  A pair at the threshold has equal
+#: coarse keys with probability 0.36 and then, as each fingerprint bit differs with probability 0.2,
+#: a common anchor with about 0.6.  The tables share their min-hashes and so aren't independent:
+#: simulated, 0.992 of the pairs at 0.6 meet, 0.998 at 0.65 and 0.9999 at 0.7.
+TABLES, COARSE = 48, 2
+FINGERPRINT = 23
+#: Min-hashes; a bit of each makes a sketch of 128 bits, of which a pair at the threshold differs
+#: in 25.6 on average (sd 4.5) and a pair without anything in common in 64.
+HASHES = 128
 SKETCH_DISTANCE = 44
-#: An anchor with more records is refined by the Golay code; t of the covering (see above).
-REFINE_OVER = 256
-HALF_DISTANCE = 3
-#: Records of one anchor and code word that one comparison block holds.
+#: t of the covering (see above).
+HALF_DISTANCE = 1
+#: Records of one anchor that one comparison block holds.
 BLOCK = 2048
 
+#: Code points of text whose shingles are hashed together.
+BATCH_CHARS = 2_000_000
+
 WORD = regex.compile(r"[\p{L}\p{N}]+")
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
 _GOLAY = 0b101011100011  # fixed value: generator polynomial of the binary Golay code, degree 11
 
 
@@ -59,6 +67,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@cache
+def _drawn() -> np.ndarray:
+    """For each table the min-hashes drawn for it: those of the coarse key, then the fingerprint's."""
+    rng = np.random.default_rng(20240301)
+    return np.array([rng.permutation(HASHES)[: COARSE + FINGERPRINT] for _ in range(TABLES)])
+
+
 class Hasher:
     """Shingle sets and min-hashes of texts."""
 
@@ -67,33 +82,74 @@ class Hasher:
         self.multiply, self.add = _parameters(HASHES)
         self.words: dict[str, int] = {}
 
-    def shingles(self, text: str | None) -> np.ndarray | None:
-        """The sorted set of shingle hashes; None for texts of too few words."""
-        words = WORD.findall((text or "").lower())
-        if len(words) < max(self.min_words, self.shingle):
-            return None
+    def shingles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted sets of shingle hashes of the texts with words enough.
+
+        Returns the numbers of those texts, all sets one after the other, and where each begins.
+        """
+        cut = []
+        for text in texts:
+            low = (text or "").lower()
+            cut.append((_ASCII_WORD if low.isascii() else WORD).findall(low))
         known = self.words
         if len(known) > 500_000:
             known.clear()
-        for w in set(words).difference(known):
+        for w in set().union(*cut).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        kept = [k for k, x in enumerate(cut) if len(x) >= max(self.min_words, self.shingle)]
+        sizes = np.array([len(cut[k]) for k in kept], np.int64)
+        if not kept:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        h = np.fromiter(map(known.__getitem__, chain.from_iterable(cut[k] for k in kept)), np.uint64, int(sizes.sum()))
         n = len(h) - self.shingle + 1
         s = h[:n].copy()
         for k in range(1, self.shingle):
             s = _mix(s) + h[k : k + n]
-        return np.unique(_mix(s))
-
-    def minhashes(self, s: np.ndarray) -> np.ndarray:
-        """HASHES min-hashes of a set, in slices so that long sets need no large matrix."""
-        out = np.full(HASHES, np.uint64(2**64 - 1))
-        for at in range(0, len(s), 4096):
-            part = s[at : at + 4096]
-            out = np.minimum(out, ((part[None, :] * self.multiply[:, None] + self.add[:, None]) ^ (part[None, :] >> np.uint64(32))).min(axis=1))
+        s = _mix(s)
+        # Shingles that reach into the next text are left out; each text's are sorted in place.
+        ends = np.cumsum(sizes)
+        inside = np.ones(len(h), bool)
+        for k in range(1, self.shingle):
+            inside[ends - k] = False
+        s = s[inside[:n]]
+        counts = sizes - self.shingle + 1
+        starts = np.cumsum(counts) - counts
+        for at, end in zip(starts.tolist(), (starts + counts).tolist()):
+            s[at:end].sort()
+        first = np.ones(len(s), bool)
+        first[1:] = s[1:] != s[:-1]
+        first[starts] = True
+        before = np.concatenate(([0], np.cumsum(first)))
+        return np.array(kept, np.int64), s[first], before[starts]
+
+    def minhashes(self, sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """HASHES min-hashes of each set, a row a set."""
+        out = np.empty((len(starts), HASHES), np.uint64)
+        low = sets >> np.uint64(32)
+        for k in range(HASHES):
+            out[:, k] = np.minimum.reduceat((sets * self.multiply[k] + self.add[k]) ^ low, starts)
         return _mix(out)
 
 
-SIGNATURE = "id bigint, n_shingles int, set_key binary, anchors array<bigint>, sketch bigint, sketch2 bigint"
+def _runs(keys: list, texts: list[str | None]) -> Iterator[tuple[list, list[str | None]]]:
+    """Keys and texts in runs of about BATCH_CHARS code points (one text may be longer)."""
+    first = held = 0
+    for at, text in enumerate(texts):
+        held += len(text or "")
+        if held >= BATCH_CHARS or at + 1 == len(texts):
+            yield keys[first : at + 1], texts[first : at + 1]
+            first, held = at + 1, 0
+
+
+def coarse_keys(minhashes: np.ndarray) -> np.ndarray:
+    """The coarse key of each table, a row a record; keys of different tables differ."""
+    key = np.broadcast_to(np.arange(1, TABLES + 1, dtype=np.uint64), (len(minhashes), TABLES)).copy()
+    for k in range(COARSE):
+        key = _mix(key + minhashes[:, _drawn()[:, k]])
+    return key.view(np.int64)
+
+
+SIGNATURE = "id bigint, n_shingles int, set_key binary, coarse array<bigint>, sketch bigint, sketch2 bigint"
 
 
 def signatures(chunks: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
@@ -102,26 +158,19 @@ def signatures(chunks: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_W
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(shingle, min_words)
-        powers = np.uint64(1) << np.arange(HASHES, dtype=np.uint64)
+        powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
         names = [x.split()[0] for x in SIGNATURE.split(", ")]
         for batch in batches:
-            ids, sizes, keys, anchors, sketches = [], [], [], [], ([], [])
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if (s := hasher.shingles(text)) is None:
+            for keys, texts in _runs(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                kept, sets, starts = hasher.shingles(texts)
+                if not len(kept):
                     continue
-                m = hasher.minhashes(s)
-                joined = m[: BANDS * ROWS].reshape(BANDS, ROWS)
-                band = np.arange(1, BANDS + 1, dtype=np.uint64)
-                for k in range(ROWS):
-                    band = _mix(band + joined[:, k])
-                ids.append(key)
-                sizes.append(len(s))
-                keys.append(xxhash.xxh128_digest(s.tobytes()))
-                anchors.append(band.view(np.int64).tolist())
-                for held, bit in zip(sketches, (17, 41)):
-                    held.append(((m >> np.uint64(bit) & np.uint64(1)) * powers).sum(dtype=np.uint64).view(np.int64).item())
-            columns = zip((ids, sizes, keys, anchors, *sketches), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=names)
+                m = hasher.minhashes(sets, starts)
+                ends = np.append(starts[1:], len(sets))
+                coarse = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * TABLES, pa.int32()), pa.array(coarse_keys(m).ravel()))
+                sketches = [((half & np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64).view(np.int64) for half in (m[:, :64], m[:, 64:])]
+                columns = [pa.array([keys[k] for k in kept.tolist()], pa.int64()), pa.array((ends - starts).astype(np.int32)), pa.array([xxhash.xxh128_digest(sets[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()), coarse]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, sketches)], names=names)
 
     return spread(rows, "id").mapInArrow(run, SIGNATURE).dropDuplicates(["id"])
 
@@ -144,45 +193,52 @@ def syndromes(words: np.ndarray) -> np.ndarray:
     return rest
 
 
-def _fingerprint(sketch: np.ndarray, band: np.ndarray) -> np.ndarray:
-    """The 23 of the sketch's 64 bits, in a ring, that refine an anchor of that band."""
-    x, turn = sketch.view(np.uint64), (band * 5 % 64).astype(np.uint64)
-    turned = np.where(turn == 0, x, (x >> turn) | (x << ((np.uint64(64) - turn) % np.uint64(64))))
-    return (turned & np.uint64((1 << 23) - 1)).astype(np.int64)
+def fingerprints(sketch: np.ndarray, second: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The fingerprint of each sketch for that table: the bits of the min-hashes drawn for it."""
+    halves = (sketch.view(np.uint64), second.view(np.uint64))
+    out = np.zeros(len(sketch), np.int64)
+    for k in range(FINGERPRINT):
+        drawn = _drawn()[table, COARSE + k]
+        out |= (np.where(drawn < 64, *halves) >> (drawn % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64) << k
+    return out
 
 
-def replicate(rows: DataFrame, half_distance: int = HALF_DISTANCE) -> DataFrame:
-    """Copies of ``(anchor, band, id, n_shingles, sketch, sketch2)`` rows, one for each Golay code word
-    within covering radius plus ``half_distance`` of the fingerprint, with a column ``word``."""
-    schema = "anchor bigint, id bigint, n_shingles int, sketch bigint, sketch2 bigint, word int"
+def anchors_of(coarse: np.ndarray, fingerprint: np.ndarray, half_distance: int = HALF_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and anchors: each fingerprint at every code word within covering radius plus
+    ``half_distance``; an anchor is a hash of the coarse key and the code word."""
+    patterns, bounds = golay_patterns(3 + half_distance)
+    s = syndromes(fingerprint)
+    counts = bounds[s + 1] - bounds[s]
+    row = np.repeat(np.arange(len(s)), counts)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    word = fingerprint[row] ^ patterns[bounds[s][row] + offset]
+    return row, _mix(coarse.view(np.uint64)[row] + _mix(word.astype(np.uint64) + np.uint64(1))).view(np.int64)
+
+
+def replicate(rows: DataFrame, half_distance: int = HALF_DISTANCE, bare: bool = False) -> DataFrame:
+    """Copies of ``(band, coarse, id, n_shingles, sketch, sketch2)`` rows, one an anchor, with a
+    column ``anchor``; ``bare``: that column alone."""
+    columns = ["id", "n_shingles", "sketch", "sketch2"]
+    schema = "anchor bigint" if bare else "anchor bigint, id bigint, n_shingles int, sketch bigint, sketch2 bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns, bounds = golay_patterns(3 + half_distance)
         for whole in batches:
-            for at in range(0, whole.num_rows, 5000):
-                batch = whole.slice(at, 5000)
-                anchor, band, key, size, sketch, second = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-                print_ = _fingerprint(sketch.astype(np.int64), band.astype(np.int64))
-                s = syndromes(print_)
-                counts = bounds[s + 1] - bounds[s]
-                row = np.repeat(np.arange(len(s)), counts)
-                offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                word = print_[row] ^ patterns[bounds[s][row] + offset]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[row], pa.int64()), pa.array(key[row], pa.int64()), pa.array(size[row], pa.int32()), pa.array(sketch[row], pa.int64()), pa.array(second[row], pa.int64()), pa.array(word, pa.int32())],
-                    names=["anchor", "id", "n_shingles", "sketch", "sketch2", "word"],
-                )
-
-    return rows.select("anchor", "band", "id", "n_shingles", "sketch", "sketch2").mapInArrow(run, schema)
+            for at in range(0, whole.num_rows, 20_000):
+                batch = whole.slice(at, 20_000)
+                band, coarse, _, _, sketch, second = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+                row, anchor = anchors_of(coarse.astype(np.int64), fingerprints(sketch.astype(np.int64), second.astype(np.int64), band), half_distance)
+                held = [] if bare else [batch.column(i).take(pa.array(row)) for i in range(2, 6)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), *held], names=["anchor", *([] if bare else columns)])
+
+    return rows.select("band", "coarse", *columns).mapInArrow(run, schema)
 
 
 def _meet(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of ``(anchor, word, cell_a, cell_b)`` rows that may reach the threshold."""
+    """Pairs of rows that meet at an anchor and may reach the threshold."""
     a, b = rows.alias("a"), rows.alias("b")
     low, high = F.least("a.n_shingles", "b.n_shingles"), F.greatest("a.n_shingles", "b.n_shingles")
     on = (
         (F.col("a.anchor") == F.col("b.anchor"))
-        & (F.col("a.word") == F.col("b.word"))
         & (F.col("a.block") == F.col("b.block"))
         & (F.col("a.id") < F.col("b.id"))
         & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) + F.bit_count(F.col("a.sketch2").bitwiseXOR(F.col("b.sketch2"))) <= SKETCH_DISTANCE)
@@ -196,20 +252,19 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     ``reps``: materialised rows of ``SIGNATURE`` (used several times).
     """
-    bands = reps.select(F.posexplode("anchors").alias("band", "anchor"), "id", "n_shingles", "sketch", "sketch2")
-    # Most anchors have one record; only the anchors are shuffled to find that out.
-    counts = materialise(bands.groupBy("anchor").agg(F.count(F.lit(1)).alias("meeting")).where("meeting > 1"), "counts")
-    shared = materialise(bands.join(checked_broadcast(counts), "anchor"), "anchors")
-    small = shared.where(F.col("meeting") <= REFINE_OVER).withColumns({"word": F.lit(-1), "block": F.lit("")})
-    pairs = _meet(small, threshold)
-    if shared.where(F.col("meeting") > REFINE_OVER).isEmpty():
-        return pairs.distinct()
-    large = materialise(replicate(shared.where(F.col("meeting") > REFINE_OVER)), "words")
-    crowds = large.groupBy("anchor", "word").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("slices"))
-    sliced = large.join(crowds, ["anchor", "word"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    tables = reps.select(F.posexplode("coarse").alias("band", "coarse"), "id", "n_shingles", "sketch", "sketch2")
+    several = lambda df, key, most: df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key, F.ceil(F.col("n") / F.lit(most)).cast("int").alias("slices"))
+    # Who is alone under a coarse key, or alone at an anchor, meets nobody; only the keys are
+    # shuffled to find that out.
+    joint = materialise(several(tables.select("coarse"), "coarse", 1).drop("slices"), "coarse")
+    live = tables.join(checked_broadcast(joint), "coarse")
+    met = materialise(several(replicate(live, bare=True), "anchor", BLOCK), "anchors")
+    sliced = replicate(live).join(checked_broadcast(met), "anchor").withColumn("own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
     # A row of slice s joins the blocks (s, x) and (x, s); with one slice that is one block.
-    blocks = sliced.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("block", F.concat_ws(":", F.least("own", "other"), F.greatest("own", "other")))
-    return pairs.unionByName(_meet(blocks, threshold)).distinct()
+    other = sliced.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    block = F.least("own", "other").cast("bigint") * F.lit(1 << 32) + F.greatest("own", "other")
+    blocks = materialise(other.select("anchor", "id", "n_shingles", "sketch", "sketch2", block.alias("block")), "met")
+    return _meet(blocks, threshold).distinct()
 
 
 def shingle_sets(contents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -218,8 +273,10 @@ def shingle_sets(contents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(shingle, 0)
         for batch in batches:
-            sets = [hasher.shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[] if s is None else s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "s"])
+            for keys, texts in _runs(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                kept, sets, starts = hasher.shingles(texts)
+                held = pa.ListArray.from_arrays(pa.array(np.append(starts, len(sets)), pa.int32()), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in kept.tolist()], pa.int64()), held], names=["id", "s"])
 
     return contents.mapInArrow(run, "id bigint, s array<bigint>")
 
@@ -237,7 +294,7 @@ def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, shingle: in
     # Classes of several are few; all other records represent themselves.
     classes = signed.groupBy("set_key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = signed.join(checked_broadcast(materialise(classes, "classes")), "set_key", "left").withColumn("rep", F.coalesce("first", "id"))
-    reps = members.where("id = rep").select("id", "n_shingles", "anchors", "sketch", "sketch2")
+    reps = members.where("id = rep").select("id", "n_shingles", "coarse", "sketch", "sketch2")
     pairs = materialise(candidates(reps, threshold), "candidates")
     wanted = checked_broadcast(materialise(pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct(), "wanted"))
     contents = chunks.where(F.col("content").isNotNull()).select(F.col("id").cast("bigint"), "content")
