@@ -153,7 +153,7 @@ SIGNATURE = "id bigint, n_shingles int, set_key binary, coarse array<bigint>, sk
 
 
 def signatures(chunks: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
-    """``SIGNATURE`` of each distinct chunk with words enough; contents aren't shuffled."""
+    """``SIGNATURE`` of each chunk with words enough, one row a delivered row; contents aren't shuffled."""
     rows = chunks.where(F.col("content").isNotNull()).select(F.col("id").cast("bigint"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,7 @@ def signatures(chunks: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_W
                 columns = [pa.array([keys[k] for k in kept.tolist()], pa.int64()), pa.array((ends - starts).astype(np.int32)), pa.array([xxhash.xxh128_digest(sets[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()), coarse]
                 yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, sketches)], names=names)
 
-    return spread(rows, "id").mapInArrow(run, SIGNATURE).dropDuplicates(["id"])
+    return spread(rows, "id").mapInArrow(run, SIGNATURE)
 
 
 @cache
@@ -287,14 +287,19 @@ def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, shingle: in
     Returns ``members (id, rep)``, one row per distinct chunk with at least ``min_words`` words,
     and ``links (rep_a, rep_b, similarity)``, ``rep_a < rep_b``, with a Jaccard similarity of at
     least ``threshold``.  ``rep`` is the smallest id of the class.  Null, empty and short contents
-    are out of scope; rows delivered twice count once; columns other than ``id`` and ``content``
+    are out of scope; rows delivered twice count once (an id delivered with different contents counts
+    with each of them); columns other than ``id`` and ``content``
     are ignored; an empty table gives empty results.
     """
     signed = materialise(signatures(chunks, shingle, min_words), "signatures")
-    # Classes of several are few; all other records represent themselves.
-    classes = signed.groupBy("set_key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = signed.join(checked_broadcast(materialise(classes, "classes")), "set_key", "left").withColumn("rep", F.coalesce("first", "id"))
-    reps = members.where("id = rep").select("id", "n_shingles", "coarse", "sketch", "sketch2")
+    # Sets of several rows (classes, and rows delivered twice) are few; all other records represent
+    # themselves.  Only the keys are shuffled to tell them apart.
+    classes = signed.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    named = signed.join(checked_broadcast(materialise(classes, "classes")), "set_key", "left")
+    alone, several = named.where("rep is null"), named.where("rep is not null")
+    members = alone.select("id", F.col("id").alias("rep")).unionByName(several.select("id", "rep").distinct())
+    columns = ["id", "n_shingles", "coarse", "sketch", "sketch2"]
+    reps = alone.select(columns).unionByName(several.where("id = rep").select(columns).dropDuplicates(["id"]))
     pairs = materialise(candidates(reps, threshold), "candidates")
     wanted = checked_broadcast(materialise(pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct(), "wanted"))
     contents = chunks.where(F.col("content").isNotNull()).select(F.col("id").cast("bigint"), "content")
@@ -306,7 +311,7 @@ def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, shingle: in
         .select("rep_a", "rep_b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )
-    return members.select("id", "rep"), materialise(links, "links")
+    return members, materialise(links, "links")
 
 
 def expand_pairs(members: DataFrame, links: DataFrame, copies: int | None = None) -> DataFrame:
@@ -327,7 +332,7 @@ def expand_pairs(members: DataFrame, links: DataFrame, copies: int | None = None
     meet = meet.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
     left = speak.select(F.col("id").alias("x"), F.col("rep").alias("rep_a"))
     right = speak.select(F.col("id").alias("y"), F.col("rep").alias("rep_b"), F.pmod(F.xxhash64("id"), slices).cast("int").alias("slot"))
-    pairs = meet.join(left, "rep_a").join(right, ["rep_b", "slot"]).where("rep_a <> rep_b or x < y").select("x", "y")
+    pairs = meet.join(left, "rep_a").join(right, ["rep_b", "slot"]).where("x <> y and (rep_a <> rep_b or x < y)").select("x", "y")
     if copies is not None:
         pairs = pairs.unionByName(sized.where(~whole & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y")))
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -3,19 +3,20 @@
 Vectors are normalised, so cosine order is Euclidean order, and reduced to a few coordinates by a
 Gaussian (2-stable) projection: the squared projected distance of two vectors, divided by their
 squared distance, follows a chi-square distribution with as many degrees of freedom as there are
-coordinates.  A kd-tree over the projected points yields them from the nearest outwards; each is
-verified on the whole vectors, until the chi-square test says that a point as far out in the
-projection as the next one could be nearer than the k-th best found so far only with a probability
-below 1 - confidence.
+coordinates.  A kd-tree over the projected points is searched from the nearest leaf outwards; in a
+leaf a row's projected neighbours are verified on the whole vectors in their order
+(:func:`verify_in_order`), until the chi-square test says that one as far out in the projection as
+the next could be nearer than the k-th best found so far only with a probability below
+1 - confidence.
 
 Two plans share that search.
 
 - With a stated query set, blocks of queries meet blocks of the other rows, so every row can be
-  reached; the test stops each search within a block, and each query's best are merged.
-- With a least similarity the radius of interest is bounded, so the chi-square quantile is a fixed
-  threshold on projected distances and nothing is searched incrementally: kd-trees over several
-  independent projections cut the rows into leaves, the pairs within a leaf pass the threshold and
-  are verified, and a pair is missed only if all trees separate it.  No two leaves are compared.
+  reached; each query's best of all blocks are merged.
+- With a least similarity the k-th best is never farther than that, so a row's neighbours lie close
+  in the projection: kd-trees over several independent projections cut the rows into leaves, each row
+  searches its leaf of every tree, and a pair is missed only if all trees separate it.  The number
+  of trees follows from the number of rows (:func:`trees_for`).
 
 Vectors with equal directions form one class that is searched once.
 """
@@ -23,7 +24,7 @@ Vectors with equal directions form one class that is searched once.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,21 +36,30 @@ from folioscope.cluster import materialise, spread
 
 DIMENSION = 64
 K = 10
-#: Coordinates of a projection.
-COORDINATES = 12
-CONFIDENCE = 0.98
-#: Trees of the plan with a least similarity, rows of a leaf, and rows of a distributed cell.
-TREES = 10
-LEAF_ROWS = 4096
+#: Coordinates of a projection and confidence of the stopping test, with a query set and with a
+#: least similarity (where hardly any row is near enough to be verified, so it may be stricter).
+COORDINATES, CONFIDENCE = 32, 0.95
+COORDINATES_LEAST, CONFIDENCE_LEAST = 24, 0.999
+#: Coordinates by which trees send rows to cells.
+TREE_COORDINATES = 12
+#: Share of the pairs at exactly the least similarity that all trees together may separate, and the
+#: fewest trees where there is more than one leaf.
+LOSS, LEAST_TREES = 0.01, 8
+#: Rows of a leaf and of a distributed cell of the plan with a least similarity.
+LEAF_ROWS = 8192
 CELL_ROWS = 32_768
 #: The top of each tree is fitted on at most so many projected rows.
 SAMPLE_ROWS = 100_000
-#: Queries and other rows of one block of the plan with a query set.
-QUERY_BLOCK = 8_192
-ROW_BLOCK = 65_536
+#: Queries and other rows of one block of the plan with a query set, at most; blocks of fewer rows
+#: than the last aren't made for the sake of more tasks.
+QUERY_BLOCK = 262_144
+ROW_BLOCK = 262_144
+SMALL_BLOCK = 8_192
 SEED = 64_012
-#: Steps of a component from 0 to 1 in the 24 bits that go to the cells.
-PACK_SCALE = 2**23 - 1
+#: Steps of a component from 0 to 1 in the 16 bits that go to the cells.
+PACK_SCALE = 2**15 - 1
+#: Rounding of squared projected distances and of distances in single and double precision.
+NEAR_SLACK, ROOT_SLACK = 1e-3, 1e-7
 
 
 def chi_square_quantile(p: float, df: int) -> float:
@@ -164,22 +174,102 @@ def _best(keys_q: np.ndarray, keys_r: np.ndarray, cosine: np.ndarray, k: int) ->
     return order[rank < k]
 
 
+# --- the search -------------------------------------------------------------------------------
+
+
+def projected_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``x`` to all of ``y``, by one product."""
+    one = lambda z: np.ones((len(z), 1), np.float32)
+    norm = lambda z: np.square(z).sum(axis=1, dtype=np.float32)[:, None]
+    return np.hstack((-2 * x, norm(x), one(x))) @ np.hstack((y, one(y), norm(y))).T
+
+
+def verify_in_order(near: np.ndarray, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], best: np.ndarray, stop: float, error: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Verify each query's projected neighbours from the nearest outwards until the test holds.
+
+    ``near``: squared projected distances, a row a query, infinite for pairs that don't count.
+    ``distance``: whole distances of pairs (query numbers, row numbers), known up to ``error``.
+    ``best``: each query's k smallest distances so far, the bound where fewer are known.  A query
+    is done as soon as its next neighbour's squared projected distance exceeds ``stop`` times the
+    square of its k-th smallest distance, widened by twice ``error``.
+
+    Returns the verified pairs, their distances, and ``best`` as it is then.
+    """
+    k = best.shape[1]
+    best = best.copy()
+    worst = best.max(axis=1)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def visit(a: np.ndarray, b: np.ndarray, slot: np.ndarray, width: int) -> None:
+        d = distance(a, b)
+        out.append((a, b, d))
+        touched, at = np.unique(a, return_inverse=True)
+        new = np.full((len(touched), k + width), np.inf)
+        new[:, :k] = best[touched]
+        new[at, k + slot] = d
+        best[touched] = np.partition(new, k - 1, axis=1)[:, :k]
+        worst[touched] = best[touched].max(axis=1)
+
+    first = min(2 * k, near.shape[1])
+    if np.isinf(worst).any():  # no bound yet: the nearest few give one
+        unknown = np.flatnonzero(np.isinf(worst))
+        b = np.argpartition(near[unknown], first - 1, axis=1)[:, :first]
+        a = np.repeat(unknown, first)
+        b = b.ravel()
+        slot = np.tile(np.arange(first), len(unknown))
+        real = np.isfinite(near[a, b])
+        visit(a[real], b[real], slot[real], first)
+        near = near.copy()
+        near[a, b] = np.inf
+    reach = lambda w: stop * np.square(w + 2 * error) + NEAR_SLACK
+    a, b = np.nonzero(near <= reach(worst)[:, None].astype(np.float32))
+    held = near[a, b]
+    real = np.isfinite(held)
+    a, b, held = a[real], b[real], held[real]
+    order = np.lexsort((held, a))
+    a, b, held = a[order], b[order], held[order]
+    start = np.searchsorted(a, a, side="left")
+    rank = np.arange(len(a)) - start
+    low, width = 0, 2 * k
+    while len(a):
+        now = rank < low + width
+        visit(a[now], b[now], rank[now] - low, width)
+        left = ~now
+        a, b, held, rank = a[left], b[left], held[left], rank[left]
+        # A query's rest is sorted, so its next one tells whether the test holds for all of it.
+        still = held <= reach(worst[a])
+        a, b, held, rank = a[still], b[still], held[still], rank[still]
+        low, width = low + width, 2 * width
+    join = lambda i, t: np.concatenate([x[i] for x in out]) if out else np.zeros(0, t)
+    return join(0, np.int64), join(1, np.int64), join(2, np.float64), best
+
+
+def pair_distances(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the rows ``a`` of ``x`` to the rows ``b`` of ``y``; for crowds, where one
+    product is cheaper than its pairs, from the cosines of normalised rows."""
+    if len(a) * 16 > len(x) * len(y):
+        return np.sqrt(np.maximum(2.0 - 2.0 * (x @ y.T)[a, b], 0.0))
+    d = np.empty(len(a))
+    for cut in range(0, len(a), 20_000):
+        apart = x[a[cut : cut + 20_000]] - y[b[cut : cut + 20_000]]
+        d[cut : cut + 20_000] = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+    return d
+
+
 # --- the plan with a query set ---------------------------------------------------------------
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, coordinates: int = COORDINATES, confidence: float = CONFIDENCE, leaf_rows: int = 1024, least: float = -1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, coordinates: int = COORDINATES, confidence: float = CONFIDENCE, leaf_rows: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The k most similar of ``rows`` for each query, itself excluded, and the pairs verified.
 
     Leaves of a kd-tree over the projected rows are visited from the nearest outwards, for the
     queries of one leaf of a tree of their own together, until the test holds for each of them.
     """
-    dimension = rows.shape[1]
-    p = projection(dimension, coordinates, SEED)
+    p = projection(rows.shape[1], coordinates, SEED)
     projected, projected_q = rows @ p, queries @ p
     leaves = kd_cells(projected, leaf_rows)
     low, high = np.array([projected[x].min(axis=0) for x in leaves]), np.array([projected[x].max(axis=0) for x in leaves])
     stop = chi_square_quantile(confidence, coordinates)
-    farthest = 2.0 - 2.0 * least
     out_q, out_r, out_c, verified = [], [], [], 0
     for group in kd_cells(projected_q, 256):
         q, qp, qid = queries[group], projected_q[group], query_ids[group]
@@ -187,31 +277,42 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, r
         for d in range(coordinates):
             away = np.maximum(low[None, :, d] - qp[:, None, d], qp[:, None, d] - high[None, :, d])
             gap += np.square(np.maximum(away, 0))
-        found = np.full((len(group), k), -2.0, np.float32)
-        names = np.full((len(group), k), np.iinfo(np.int64).max)
+        # The nearest few of all leaves in the projection bound each k-th distance from the start.
+        first = min(4 * k, len(rows) - 1)
+        few, few_near = np.zeros((len(group), 0), np.int64), np.zeros((len(group), 0), np.float32)
+        for members in leaves:
+            near = projected_squares(qp, projected[members])
+            near[qid[:, None] == row_ids[members][None, :]] = np.inf
+            few_near, few = np.hstack((few_near, near)), np.hstack((few, np.broadcast_to(members, near.shape)))
+            if few.shape[1] > first > 0:
+                nearest = np.argpartition(few_near, first - 1, axis=1)[:, :first]
+                few_near, few = np.take_along_axis(few_near, nearest, 1), np.take_along_axis(few, nearest, 1)
+        known = np.where(np.isfinite(few_near), np.linalg.norm(rows[few] - q[:, None], axis=2), np.inf)
+        verified += known.size
+        bound = np.partition(known, k - 1, axis=1)[:, k - 1] if known.shape[1] >= k else np.full(len(group), np.inf)
+        best = np.repeat(bound[:, None] * (1 + 1e-6), k, axis=1)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for leaf in np.argsort(gap.min(axis=0), kind="stable"):
-            # Squared distance of the k-th best, or the bound where fewer are known.
-            reach = np.minimum(2.0 - 2.0 * found.min(axis=1), farthest)
-            open_ = np.flatnonzero(gap[:, leaf] <= stop * reach)
+            open_ = np.flatnonzero(gap[:, leaf] <= stop * np.square(best.max(axis=1)) + NEAR_SLACK)
             if not len(open_):
                 continue
             members = leaves[leaf]
-            c = q[open_] @ rows[members].T
-            verified += c.size
-            c[qid[open_, None] == row_ids[members][None, :]] = -2.0
-            worst = found[open_].min(axis=1)
-            a, b = np.nonzero((c >= worst[:, None]) & (c >= least) & (c > -1.5))
-            if not len(a):
-                continue
-            best = _best(np.concatenate((a, np.repeat(np.arange(len(open_)), k))), np.concatenate((row_ids[members][b], names[open_].ravel())), np.concatenate((c[a, b], found[open_].ravel())), k)
-            all_c, all_n = np.concatenate((c[a, b], found[open_].ravel())), np.concatenate((row_ids[members][b], names[open_].ravel()))
-            found[open_], names[open_] = all_c[best].reshape(-1, k), all_n[best].reshape(-1, k)
-        real = found > -1.5
-        out_q.append(np.repeat(qid, k)[real.ravel()])
-        out_r.append(names[real])
-        out_c.append(found[real])
+            near = projected_squares(qp[open_], projected[members])
+            near[qid[open_, None] == row_ids[members][None, :]] = np.inf
+            x, y = q[open_], rows[members]
+            a, b, d, best[open_] = verify_in_order(near, lambda a, b: pair_distances(x, y, a, b), best[open_], stop)  # noqa: B023
+            verified += len(a)
+            close = d <= best[open_].max(axis=1)[a]
+            found.append((open_[a[close]], row_ids[members[b[close]]], d[close]))
+        if not found:
+            continue
+        a, names, d = (np.concatenate([f[i] for f in found]) for i in range(3))
+        top = _best(a, names, 1.0 - np.square(d) / 2, k)
+        out_q.append(qid[a[top]])
+        out_r.append(names[top])
+        out_c.append(1.0 - np.square(d[top]) / 2)
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(out_q, np.int64), join(out_r, np.int64), join(out_c, np.float32), verified
+    return join(out_q, np.int64), join(out_r, np.int64), join(out_c, np.float64), verified
 
 
 def _classes(units: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +333,9 @@ def neighbours_of_queries(rows: DataFrame, queries: Column, k: int = K, id_col:
     wanted = members.where(queries).select("rep").distinct()
     asked = reps.join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi")
     n_rows, n_queries = reps.count(), wanted.count()
-    row_blocks, query_blocks = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism  # so many blocks at least, if they aren't small
+    row_blocks = max(1, -(-n_rows // ROW_BLOCK), min(-(-tasks // query_blocks), n_rows // SMALL_BLOCK))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.select(F.col("id").alias("query"), F.col("unit").alias("query_unit")).withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int")).withColumn("rb", numbers(row_blocks))
     right = reps.select("id", "unit").toDF("id", "unit").withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int")).withColumn("qb", numbers(query_blocks))
@@ -272,17 +375,13 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _packed(units: np.ndarray) -> list[bytes]:
-    """The rows with 24 bits a component, so that ten trees shuffle three quarters of them."""
-    whole = np.round(units.astype(np.float64) * PACK_SCALE).astype("<i4")
-    return [r.tobytes() for r in whole.view(np.uint8).reshape(*units.shape, 4)[:, :, :3]]
+    """The rows with 16 bits a component, so that a tree shuffles half of them."""
+    return [r.tobytes() for r in np.round(units.astype(np.float64) * PACK_SCALE).astype("<i2")]
 
 
 def _unpacked(packed, dimension: int) -> np.ndarray:
     """The normalised rows that :func:`_packed` has packed."""
-    low = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, dimension, 3)
-    whole = np.zeros((len(low), dimension, 4), np.uint8)
-    whole[:, :, 1:] = low
-    x = (whole.view("<i4")[:, :, 0] >> 8).astype(np.float64)
+    x = np.frombuffer(b"".join(packed), "<i2").reshape(-1, dimension).astype(np.float64)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -292,76 +391,69 @@ def pack_error(dimension: int) -> float:
     return 2.02 * math.sqrt(dimension) * 0.5 / PACK_SCALE
 
 
-def search_cell(units: np.ndarray, ids: np.ndarray, least: float, k: int, leaf_rows: int, seed: int, error: float = 0.0, coordinates: int = 24, confidence: float = 0.999) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def trees_for(rows: int, least: float, loss: float = LOSS, leaf_rows: int = LEAF_ROWS) -> int:
+    """Trees over so many rows for which a pair at the least similarity is separated in all of them
+    with a probability of at most ``loss``.
+
+    A split at the median of a projection separates vectors at an angle t with probability t / pi;
+    each halving of the rows down to a leaf is one split.  The number grows with about the 0.22th
+    power of the rows at a cosine of 0.9.
+    """
+    splits = math.ceil(math.log2(max(rows / leaf_rows, 1.0)))
+    if not splits:
+        return 1
+    together = (1.0 - math.acos(least) / math.pi) ** splits
+    return max(LEAST_TREES, math.ceil(math.log(loss) / math.log(1.0 - together)))
+
+
+def search_cell(units: np.ndarray, ids: np.ndarray, least: float, k: int, leaf_rows: int, seed: int, error: float = 0.0, coordinates: int = COORDINATES_LEAST, confidence: float = CONFIDENCE_LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """For each row of a cell all others in its leaf that may be among its k most similar of at
-    least ``least``, if each distance is known up to ``error``.
+    least ``least``, if each distance is known up to ``error``; and the pairs verified.
 
-    Projected neighbours are verified while the chi-square test leaves room for a pair at the
-    least similarity; the bound is fixed, so one comparison of projected distances applies it.
     The true k-th distance is at most the k-th measured plus ``error``, so a row is kept up to
     twice that beyond the k-th: ranks among nearly equal rows are left to the exact test.
     """
     p = projection(units.shape[1], coordinates, seed)
     projected = units.astype(np.float32) @ p
     reach = math.sqrt(2.0 - 2.0 * least) + error
-    bound = chi_square_quantile(confidence, coordinates) * reach * reach
-    out_a, out_b, out_d = [], [], []
+    stop = chi_square_quantile(confidence, coordinates)
+    out, verified = [], 0
     for leaf in kd_cells(projected, leaf_rows):
         x, own, whole = projected[leaf], ids[leaf], units[leaf]
-        norm = (x * x).sum(axis=1)
-        for at in range(0, len(leaf), 1024):
-            near = x[at : at + 1024] @ x.T
-            near *= -2.0
-            near += norm[at : at + 1024, None]
-            near += norm[None, :]
-            a, b = np.nonzero(near <= bound)
-            if len(a) > near.size // 16:  # a crowd: one product is cheaper than its pairs
-                square = np.maximum(2.0 - 2.0 * (whole[at : at + 1024] @ whole.T), 0.0)
-                d = np.where(near <= bound, np.sqrt(square), np.inf)
-                d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
-                kth = np.partition(d, k - 1, axis=1)[:, k - 1] if len(leaf) > k else np.full(len(d), np.inf)
-                a, b = np.nonzero(d <= np.minimum(kth + 2 * error + 1e-7, reach)[:, None])  # 1e-7: a root of what cancels
-                d = d[a, b]
-            else:
-                keep = a + at != b
-                a, b = a[keep], b[keep]
-                d = np.zeros(len(a))
-                for cut in range(0, len(a), 50_000):
-                    apart = whole[a[cut : cut + 50_000] + at] - whole[b[cut : cut + 50_000]]
-                    d[cut : cut + 50_000] = np.sqrt(np.einsum("ij,ij->i", apart, apart))
-                good = d <= reach
-                a, b, d = a[good], b[good], d[good]
-                order = np.lexsort((d, a))
-                a, b, d = a[order], b[order], d[order]
-                row, first, count = np.unique(a, return_index=True, return_counts=True)
-                kth = np.full(len(near), np.inf)
-                full = count >= k
-                kth[row[full]] = d[first[full] + k - 1]
-                good = d <= kth[a] + 2 * error + 1e-7
-                a, b, d = a[good], b[good], d[good]
-            out_a.append(own[a + at])
-            out_b.append(own[b])
-            out_d.append(d)
-    if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(out_a), np.concatenate(out_b), 1.0 - np.square(np.concatenate(out_d)) / 2
-
-
-def similar_neighbours(rows: DataFrame, least: float, k: int = K, id_col: str = "id", vector_col: str = "embedding", dimension: int = DIMENSION, trees: int = TREES) -> DataFrame:
+        for at in range(0, len(leaf), 512):
+            near = projected_squares(x[at : at + 512], x)
+            near[np.arange(len(near)), at + np.arange(len(near))] = np.inf
+            some = np.flatnonzero(near.min(axis=1) <= stop * reach * reach + NEAR_SLACK)
+            if not len(some):
+                continue
+            mine = whole[at + some]
+            a, b, d, best = verify_in_order(near[some], lambda a, b: pair_distances(mine, whole, a, b), np.full((len(some), k), reach), stop, error)  # noqa: B023
+            verified += len(a)
+            good = d <= np.minimum(best.max(axis=1)[a] + 2 * error + ROOT_SLACK, reach)
+            out.append((own[at + some[a[good]]], own[b[good]], d[good]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), verified
+    a, b, d = (np.concatenate([x[i] for x in out]) for i in range(3))
+    return a, b, 1.0 - np.square(d) / 2, verified
+
+
+def similar_neighbours(rows: DataFrame, least: float, k: int = K, id_col: str = "id", vector_col: str = "embedding", dimension: int = DIMENSION, trees: int | None = None) -> DataFrame:
     """``(id, neighbour, cosine, rank)``: of each row's k most similar other rows those with a
     cosine of at least ``least``.
 
     That is the same as searching for the k most similar and filtering them afterwards: a
-    neighbour's rank depends only on rows at least as similar as it.  Unusable vectors, repeated
-    ids, ties and equal directions: as in :func:`neighbours_of_queries`.
+    neighbour's rank depends only on rows at least as similar as it.  ``trees``: their number, by
+    default :func:`trees_for` the rows.  Unusable vectors, repeated ids, ties and equal directions:
+    as in :func:`neighbours_of_queries`.
     """
     members, reps = _classes(unit_vectors(rows, id_col, vector_col, dimension))
     spark = rows.sparkSession
     count = reps.count()
     cells = max(1, -(-count // CELL_ROWS))
+    trees = trees or trees_for(count, least, LOSS, LEAF_ROWS)
     sample = reps.select("unit") if count <= SAMPLE_ROWS else reps.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) < F.lit(int(900_000 * SAMPLE_ROWS / count))).select("unit").limit(SAMPLE_ROWS)
     held = _matrix([bytes(r[0]) for r in sample.collect()], dimension) if cells > 1 else np.zeros((0, dimension), np.float32)
-    tops = [Tree(held @ projection(dimension, COORDINATES, SEED + t), cells) for t in range(trees)]
+    tops = [Tree(held @ projection(dimension, TREE_COORDINATES, SEED + t), cells) for t in range(trees)]
     shared = spark.sparkContext.broadcast([(t.depth, t.axis, t.value) for t in tops])  # at most 2 * cells numbers a tree, cells = rows / CELL_ROWS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,12 +468,12 @@ def similar_neighbours(rows: DataFrame, least: float, k: int = K, id_col: str =
             x = _matrix([v.as_py() for v in batch.column(1)], dimension)
             packed = _packed(x)
             for t, tree in enumerate(known):
-                cell = tree.cell(x @ projection(dimension, COORDINATES, SEED + t))
+                cell = tree.cell(x @ projection(dimension, TREE_COORDINATES, SEED + t))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(cell, pa.int32()), batch.column(0), pa.array(packed, pa.binary())], names=["tree", "cell", "id", "unit"])
 
     def search(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
         # Every pair within the rounding of the k-th best comes out; the exact test follows on whole vectors.
-        a, b, _ = search_cell(_unpacked(cell["unit"], dimension), cell["id"].to_numpy(), least, k, LEAF_ROWS, SEED + key[0], pack_error(dimension))
+        a, b, _, _ = search_cell(_unpacked(cell["unit"], dimension), cell["id"].to_numpy(), least, k, LEAF_ROWS, SEED + key[0], pack_error(dimension))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     sent = reps.mapInArrow(send, "tree int, cell int, id bigint, unit binary")

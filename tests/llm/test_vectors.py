@@ -43,9 +43,52 @@ def test_stopping_saves_work():
     assert hits >= 0.95 * 3000 and verified < 0.5 * 300 * 6000
 
 
+def test_stopping_without_clusters():
+    """Even where no vector has near neighbours, the test leaves out most pairs and keeps the recall."""
+    rng = np.random.default_rng(6)
+    u = rng.standard_normal((20_000, 64)).astype(np.float32)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    ids = np.arange(len(u))
+    q, r, c, verified = vectors.search_block(u[:100], ids[:100], u, ids, 10)
+    cosine = u[:100] @ u.T
+    cosine[np.arange(100), np.arange(100)] = -2
+    top = np.argsort(-cosine, axis=1)[:, :10]
+    assert sum(b in set(top[a]) for a, b in zip(q.tolist(), r.tolist())) >= 0.95 * 1000
+    assert np.abs(c - cosine[q, r]).max() < 1e-5 and verified < 0.4 * 100 * 20_000
+
+
+def test_verify_in_order_stops_each_query_by_itself():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 64))
+    x[1:60] = x[0] + rng.standard_normal((59, 64)) * 1e-3
+    near = vectors.projected_squares((x @ vectors.projection(64, 24, 1)).astype(np.float32), (x @ vectors.projection(64, 24, 1)).astype(np.float32))
+    np.fill_diagonal(near, np.inf)
+    seen = []
+
+    def distance(a, b):
+        seen.append(len(a))
+        return np.linalg.norm(x[a] - x[b], axis=1)
+
+    a, b, d, best = vectors.verify_in_order(near, distance, np.full((400, 5), np.inf), vectors.chi_square_quantile(0.99, 24))
+    assert sum(seen) == len(a) == len(set(zip(a.tolist(), b.tolist()))) and (a != b).all()
+    whole = np.linalg.norm(x[:, None] - x[None], axis=2)
+    np.fill_diagonal(whole, np.inf)
+    assert np.isclose(best.max(axis=1)[:60], np.sort(whole[:60], axis=1)[:, 4]).mean() > 0.9
+    assert b[a < 60].max() < 60  # rows of the cluster never look outside it
+
+
+def test_trees_follow_the_rows():
+    assert vectors.trees_for(8_000, 0.9) == 1 and vectors.trees_for(30_000, 0.9) == 8
+    numbers = [vectors.trees_for(10**p, 0.9) for p in range(4, 10)]
+    assert numbers == sorted(numbers) and numbers[-1] > 30
+    splits = np.ceil(np.log2(10**8 / vectors.LEAF_ROWS))
+    assert (1 - (1 - np.arccos(0.9) / np.pi) ** splits) ** vectors.trees_for(10**8, 0.9) <= vectors.LOSS
+
+
 def test_query_set_recall(spark, monkeypatch):
     monkeypatch.setattr(vectors, "ROW_BLOCK", 150)
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(vectors, "SMALL_BLOCK", 100)
     x = _data(1)
     _, top = _brute(x, 10)
     rows = vectors.neighbours_of_queries(_frame(spark, x), F.col("id") % 20 == 0).collect()
