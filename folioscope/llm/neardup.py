@@ -233,18 +233,59 @@ def replicate(rows: DataFrame, half_distance: int = HALF_DISTANCE, bare: bool =
     return rows.select("band", "coarse", *columns).mapInArrow(run, schema)
 
 
+def close_pairs(columns: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids of rows ``(anchor, block, own, id, n_shingles, sketch, sketch2)``, sorted by
+    anchor and block, that share both, whose sketches are close and whose sizes allow the threshold.
+    In a block of two slices (``own``) only rows of different ones are compared."""
+    anchor, block, own, key, size, first, second = columns
+    cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])) + 1
+    ends = np.repeat(np.append(cut, len(anchor)), np.diff(np.concatenate(([0], cut, [len(anchor)]))))
+    left = ends - np.arange(len(anchor)) - 1
+    single = (block >> 32) == (block & 0xFFFFFFFF)
+    first, second = first.view(np.uint64), second.view(np.uint64)
+    out_a, out_b = [], []
+    i, step = np.flatnonzero(left >= 1), 1
+    while len(i):
+        j = i + step
+        near = (single[i] | (own[i] != own[j])) & (np.bitwise_count(first[i] ^ first[j]) + np.bitwise_count(second[i] ^ second[j]) <= SKETCH_DISTANCE)
+        near &= np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
+        out_a.append(key[i[near]])
+        out_b.append(key[j[near]])
+        step += 1
+        i = i[left[i] >= step]
+    if not out_a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def _meet(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of rows that meet at an anchor and may reach the threshold."""
-    a, b = rows.alias("a"), rows.alias("b")
-    low, high = F.least("a.n_shingles", "b.n_shingles"), F.greatest("a.n_shingles", "b.n_shingles")
-    on = (
-        (F.col("a.anchor") == F.col("b.anchor"))
-        & (F.col("a.block") == F.col("b.block"))
-        & (F.col("a.id") < F.col("b.id"))
-        & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) + F.bit_count(F.col("a.sketch2").bitwiseXOR(F.col("b.sketch2"))) <= SKETCH_DISTANCE)
-        & (low >= F.lit(threshold) * high)
-    )
-    return a.join(b, on).select(F.col("a.id").alias("rep_a"), F.col("b.id").alias("rep_b"))
+    """``(rep_a, rep_b)``: :func:`close_pairs` of all anchors, by one shuffle; a task holds the rows
+    of one batch and of one block."""
+    names = ["anchor", "block", "own", "id", "n_shingles", "sketch", "sketch2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in chain(batches, [None]):
+            if batch is None:
+                if held is None:
+                    return
+                ready = held
+            elif not batch.num_rows:
+                continue
+            else:
+                ready = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)]
+                if held is not None:
+                    ready = [np.concatenate(x) for x in zip(held, ready)]
+                # The last block may go on in the next batch.
+                last = np.flatnonzero((ready[0] != ready[0][-1]) | (ready[1] != ready[1][-1]))
+                at = last[-1] + 1 if len(last) else 0
+                held = [x[at:] for x in ready]
+                ready = [x[:at] for x in ready]
+            a, b = close_pairs(ready, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["rep_a", "rep_b"])
+
+    return rows.select(names).repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(run, "rep_a bigint, rep_b bigint").where("rep_a < rep_b")
 
 
 def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -263,8 +304,7 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # A row of slice s joins the blocks (s, x) and (x, s); with one slice that is one block.
     other = sliced.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     block = F.least("own", "other").cast("bigint") * F.lit(1 << 32) + F.greatest("own", "other")
-    blocks = materialise(other.select("anchor", "id", "n_shingles", "sketch", "sketch2", block.alias("block")), "met")
-    return _meet(blocks, threshold).distinct()
+    return _meet(other.withColumn("block", block), threshold).distinct()
 
 
 def shingle_sets(contents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
