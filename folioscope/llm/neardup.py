@@ -40,9 +40,10 @@ THRESHOLD = 0.6
 TABLES, COARSE = 48, 2
 FINGERPRINT = 23
 #: Min-hashes; a bit of each makes a sketch of 128 bits, of which a pair at the threshold differs
-#: in 25.6 on average (sd 4.5) and a pair without anything in common in 64.
+#: in 25.6 on average (sd 4.5, so one in two thousand beyond the distance) and a pair without anything
+#: in common in 64.
 HASHES = 128
-SKETCH_DISTANCE = 44
+SKETCH_DISTANCE = 40
 #: t of the covering (see above).
 HALF_DISTANCE = 1
 #: Records of one anchor that one comparison block holds.
