@@ -4,11 +4,10 @@ Merging uses a hierarchical-bitmap rank queue.  Each merge rank owns a bucket of
 positions; a three-level bitmap over the ranks marks the buckets that are not empty, so
 find-first-set on three words yields the lowest rank.  A position whose pair has changed since it
 was queued is stale and skipped.  The queue runs over all unknown pre-tokens of a batch at once,
-as one long linked list with barriers between the pre-tokens.  One find-first-set takes the
-buckets under a bitmap word (4,096 ranks) together: each pre-token merges its lowest rank among
-them, as one vector over all pre-tokens, and what has to wait goes back.  So no Python step is spent per
-merge, and one very long pre-token costs about as much as many short ones of the same length
-(rescanning all pairs would be quadratic in it).
+as one long linked list with barriers between the pre-tokens, and a bucket, with all pairs of the
+lowest rank, is merged as one vector.  A merge makes only pairs of higher ranks, so each rank is taken
+once: no Python step is spent per merge, and a very long pre-token costs no more than many short
+ones of the same length (rescanning all pairs would be quadratic in it).
 
 Pre-tokens repeat, so a worker keeps their ids in a bounded memo; the queue runs on misses only.
 """
@@ -80,20 +79,25 @@ class RankQueue:
         self.top |= 1 << mid
 
     def pop(self) -> tuple[int, np.ndarray] | None:
-        """The first middle word that is not empty, and the positions in its (up to 4,096) buckets."""
+        """The lowest rank whose bucket is not empty, and the positions in it."""
         if not self.top:
             return None
         mid = (self.top & -self.top).bit_length() - 1
-        self.top &= self.top - 1
-        word, taken = self.middle.pop(mid), []
-        while word:
-            leaf = mid << 6 | (word & -word).bit_length() - 1
-            word &= word - 1
-            bits = self.leaves.pop(leaf)
-            while bits:
-                taken += self.buckets.pop(leaf << 6 | (bits & -bits).bit_length() - 1)
-                bits &= bits - 1
-        return mid, taken[0] if len(taken) == 1 else np.concatenate(taken)
+        word = self.middle[mid]
+        leaf = mid << 6 | (word & -word).bit_length() - 1
+        bits = self.leaves[leaf]
+        rank = leaf << 6 | (bits & -bits).bit_length() - 1
+        if bits := bits & bits - 1:
+            self.leaves[leaf] = bits
+        else:
+            del self.leaves[leaf]
+            if word := word & word - 1:
+                self.middle[mid] = word
+            else:
+                del self.middle[mid]
+                self.top &= self.top - 1
+        taken = self.buckets.pop(rank)
+        return rank, taken[0] if len(taken) == 1 else np.concatenate(taken)
 
 
 class Merges:
@@ -130,7 +134,6 @@ class Merges:
         after[starts + sizes - 1] = total
         before[starts] = total
         before[total] = after[total] = total
-        piece_of = np.repeat(np.arange(len(pieces)), sizes)
         alive = np.ones(total + 1, bool)
         alive[total] = False
         wanted = np.full(total + 1, -1)
@@ -140,21 +143,13 @@ class Merges:
         queue = RankQueue()
         queue.push(wanted[at], at)
         while (got := queue.pop()) is not None:
-            mid, at = got
-            at = at[alive[at] & (wanted[at] >> 12 == mid)]  # the others are stale
+            rank, at = got
+            at = at[alive[at] & (wanted[at] == rank)]  # the others are stale
             if not len(at):
                 continue
             if len(at) > 1:
                 at = np.sort(at, kind="stable")
                 at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-                # A pre-token's lowest rank goes first; the word's other ranks wait for it.
-                own, rank = piece_of[at], wanted[at]
-                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                lowest = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(at))))
-                wait = rank > lowest
-                if wait.any():
-                    queue.push(rank[wait], at[wait])
-                    at = at[~wait]
                 chained = after[at[:-1]] == at[1:]
                 if chained.any():  # of overlapping pairs, the leftmost merges first
                     index = np.arange(len(at))
@@ -163,7 +158,7 @@ class Merges:
             gone = after[at]
             tail = after[gone]
             alive[gone] = False
-            symbol[at] = wanted[at]
+            symbol[at] = rank
             after[at] = tail
             before[tail] = at
             before[total] = total

@@ -52,9 +52,26 @@ def test_rank_queue_orders_ranks():
     q = bpe.RankQueue()
     q.push(np.array([5000, 3, 70_000, 3]), np.array([1, 2, 3, 4]))
     q.push(np.array([4]), np.array([9]))
-    mid, at = q.pop()
-    assert mid == 0 and sorted(at.tolist()) == [2, 4, 9]
-    assert q.pop()[1].tolist() == [1] and q.pop()[1].tolist() == [3] and q.pop() is None
+    rank, at = q.pop()
+    assert rank == 3 and at.tolist() == [2, 4]
+    q.push(np.array([4, 6]), np.array([7, 8]))
+    assert [(r, p.tolist()) for r, p in iter(q.pop, None)] == [(4, [9, 7]), (6, [8]), (5000, [1]), (70_000, [3])] and not q.leaves and not q.middle
+
+
+def test_long_pretokens_are_linear(encoder, library):
+    """One pre-token of 400,000 letters, equal to the library and not much dearer than short ones."""
+    import time
+
+    rng = random.Random(3)
+    letters = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000)]
+    texts = ["".join(letters), " ".join("".join(letters[i : i + 8]) for i in range(0, len(letters), 8)), "a" * 100_001]
+    spent = []
+    for text in texts:
+        started = time.perf_counter()
+        got = bpe.Encoder.encode_batch(encoder, [text])[0]
+        spent.append(time.perf_counter() - started)
+        assert got == library.encode(text, disallowed_special=())
+    assert spent[0] < 5 * spent[1] + 1
 
 
 def test_table(spark, encoder):
