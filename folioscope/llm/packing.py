@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.cluster import materialise
+from folioscope.cluster import checked_broadcast, materialise
 from folioscope.llm.bpe import DEFAULT_VOCABULARY, count_tokens
 
 CAPACITY = 2048
@@ -29,8 +29,9 @@ CAPACITY = 2048
 LENGTHS = (256, 512, 1024, 2048)
 #: What opening a container costs besides its length, in tokens: makes long ones the cheaper ones.
 OPENING_COST = 16
-#: Slices by which items of one size are numbered.
-SLICES = 256
+#: Items of a slice, by which the items of one size are numbered, about; and the fewest slices.
+SLICE_ITEMS = 500_000
+LEAST_SLICES = 32
 
 
 def plan_bins(histogram: dict[int, int], lengths: tuple[int, ...] = LENGTHS, opening_cost: float = OPENING_COST) -> tuple[list[tuple[int, int, int, int, int]], dict[int, list[tuple[int, int]]]]:
@@ -101,38 +102,40 @@ def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS, opening_cost: flo
     cut only if it alone exceeds the largest length.  Items of size 0 or null aren't assigned.
     Repeated ids are items of their own.  An empty table gives an empty result.
 
-    The driver sees one count for each size and each of 256 slices (hashes of the items), however
-    many items there are; no size, however common, is gathered in one task.
+    The driver sees one count for each size, however many items there are; no size, however common,
+    is gathered in one task: items are numbered by slice, a hash of the item, and the number of
+    slices follows from that of the items.
     """
     spark = sizes.sparkSession
     capacity = max(lengths)
     items = materialise(pieces_of(sizes, capacity), "pieces")
     # Items of a size are numbered by slice (a hash of the item) and by their order within it, so
     # a task that runs again numbers them alike.
-    slices = items.select("*", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(SLICES)).cast("int").alias("slice"))
-    counts = slices.groupBy("n_tokens", "slice").agg(F.count(F.lit(1)).alias("n"))
-    held = counts.collect()  # at most the capacity times SLICES rows
-    by_size: dict[int, dict[int, int]] = defaultdict(dict)
-    for r in held:
-        by_size[int(r["n_tokens"])][int(r["slice"])] = int(r["n"])
-    runs, final = plan_bins({s: sum(x.values()) for s, x in by_size.items()}, lengths, opening_cost)
+    n_slices = max(LEAST_SLICES, -(-items.count() // SLICE_ITEMS))
+    slices = items.select("*", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(n_slices)).cast("int").alias("slice"))
+    counts = materialise(slices.groupBy("n_tokens", "slice").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    histogram = {int(r["n_tokens"]): int(r["n"]) for r in counts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}  # at most the capacity rows
+    runs, final = plan_bins(histogram, lengths, opening_cost)
     table = np.array(sorted(runs), np.int64).reshape(-1, 5)
     bins = np.array(sorted((a, n, x) for x, many in final.items() for a, n in many), np.int64).reshape(-1, 3)
-    starts = {s: np.cumsum([0, *(x.get(k, 0) for k in range(SLICES - 1))]) for s, x in by_size.items()}
-    shared = spark.sparkContext.broadcast((table, bins, starts))
+    shared = spark.sparkContext.broadcast((table, bins))
+    # The number at which a slice's items of a size begin; a size has at most n_slices rows here.
+    before = Window.partitionBy("n_tokens").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialise(counts.select("n_tokens", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("start")), "starts")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bins, starts = shared.value
+        table, bins = shared.value
         # Runs are sorted by size and first item, so one number finds an item's run.
         keys = table[:, 0] << 40 | table[:, 1]
         numbers: dict[tuple[int, int], int] = {}
         for batch in batches:
-            size, part = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            size, part, start = (batch.column(k).to_numpy() for k in (3, 4, 5))
             number = np.empty(len(size), np.int64)
             for k, (s, p) in enumerate(zip(size.tolist(), part.tolist())):
                 n = numbers.get((s, p), 0)
                 numbers[s, p] = n + 1
-                number[k] = starts[s][p] + n
+                number[k] = n
+            number += start
             run = table[np.searchsorted(keys, size.astype(np.int64) << 40 | number, side="right") - 1]
             bin_id = run[:, 3] + number - run[:, 1]
             length = bins[np.searchsorted(bins[:, 0], bin_id, side="right") - 1, 2]
@@ -140,7 +143,8 @@ def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS, opening_cost: flo
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece_no", "token_from", "n_tokens", "bin_id", "bin_offset", "bin_length"])
 
     # All rows of a slice lie in one partition, in an order that is the same in every run.
-    ready = slices.select("doc_id", "piece_no", "token_from", "n_tokens", "slice").repartition("slice").sortWithinPartitions("slice", "n_tokens", "doc_id", "piece_no")
+    placed = slices.join(checked_broadcast(starts), ["n_tokens", "slice"])
+    ready = placed.select("doc_id", "piece_no", "token_from", "n_tokens", "slice", "start").repartition(n_slices, "slice").sortWithinPartitions("slice", "n_tokens", "doc_id", "piece_no")
     return ready.mapInArrow(assign, "doc_id bigint, piece_no int, token_from bigint, n_tokens bigint, bin_id bigint, bin_offset bigint, bin_length bigint")
 
 

@@ -25,6 +25,9 @@ from folioscope.cluster import spread
 #: A word: one ideograph or kana, else a run of letters and digits (with inner marks).
 WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+"
 LINE_END = r"(?m)[.!?…:;,。！？；：、]['\"»”’)\]]*[ \t\r]*$"
+#: Ends of sentences, and numbers of list entries, which look like such.
+ENDS = r"[\p{L}\p{N}]['\"»”’)\]%]*[.!?](?=\s|$)|[。！？]"
+NUMBERED = r"(?dm)^[ \t]*[0-9]+\.(?=[ \t])"
 FEATURES = ("word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "digit_ratio", "words_per_line", "sentence_ends")
 #: Most common words that are held as a literal set; the table has a fixed size of about 400.
 MAX_COMMON = 20_000
@@ -34,8 +37,8 @@ PROSE_TYPES = ("document", "pdf", "docx", "doc")
 # Learned by fit_rules, not set by hand: each rule is a list of (statistic, comparison, threshold)
 # that must all hold for a document to be no prose; a document that no rule covers is prose.
 RULES: list[list[tuple[str, str, float]]] = [
-    [("common_words", "<=", 0.126984), ("mean_word_length", ">=", 1.952)],
-    [("words_per_line", "<=", 1.725)],
+    [("sentence_ends", "<=", 0.020452)],
+    [("symbol_ratio", ">=", 0.486681)],
 ]
 
 
@@ -50,7 +53,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, id_col: str =
     - ``common_words``: share of the words that are frequent words of any language in
       ``common_words`` (its ``lang`` isn't used: documents' own is often missing or wrong)
     - ``digit_ratio``, ``words_per_line``, ``sentence_ends`` (full stops and the like after a
-      word, a word): further statistics that the rules may use
+      word, less numbers of list entries, a word): further statistics that the rules may use
 
     All are rounded to 6 digits.  No shuffle, unless the scan has fewer splits than there are cores.
     """
@@ -68,7 +71,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, id_col: str =
         F.length(F.regexp_replace("_t", r"[^0-9]+", "")).alias("_digits"),
         F.regexp_count("_t", F.lit(r"(?m)^.*\S.*$")).alias("_lines"),
         F.regexp_count("_t", F.lit(LINE_END)).alias("_punctuated"),
-        F.regexp_count("_t", F.lit(r"[\p{L}\p{N}]['\"»”’)\]%]*[.!?](?=\s|$)|[。！？]")).alias("_ends"),
+        (F.regexp_count("_t", F.lit(ENDS)) - F.regexp_count("_t", F.lit(NUMBERED))).alias("_ends"),
     ).select(
         "*",
         F.size("_w").cast("bigint").alias("word_count"),
@@ -165,8 +168,10 @@ def _grow(x: np.ndarray, y: np.ndarray, most: int) -> list[tuple[int, int, float
                     gain = np.where(a > 0, a * (np.log2(a / (a + b)) - before), -1)
                 k = int(np.argmax(gain))
                 if gain[k] > best[0]:
-                    start = v[np.concatenate(([0], last[:-1] + 1))]
-                    best = (float(gain[k]), (f, sign, float(v[last[k]] if sign < 0 else start[k])))
+                    # Half-way to the nearest value that isn't covered.
+                    edge = last[k] if sign < 0 else (last[k - 1] if k else -1)
+                    ends = v[max(edge, 0)], v[min(edge + 1, len(v) - 1)]
+                    best = (float(gain[k]), (f, sign, float(ends[0] + ends[1]) / 2))
         if best[1] is None:
             break
         rule.append(best[1])
@@ -186,7 +191,9 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 3, most_rules: int = 12,
         cut = len(order) * 2 // 3
         grow, prune = order[:cut], order[cut:]
         if not y[grow].any() or not y[prune].any():
-            break
+            if y[left].sum() < 2:
+                break
+            grow = prune = order  # too few to be split
         rule = _grow(x[grow], y[grow], most_conditions)
         if not rule:
             break
@@ -206,11 +213,12 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 3, most_rules: int = 12,
 
 
 def labelled_sample(documents: DataFrame, common_words: DataFrame, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most ``most`` documents in scope, chosen by a hash of the id."""
+    """Statistics and labels of at most ``most`` documents in scope, chosen by a hash of the id, in
+    the order of their ids, so that a fit can be repeated."""
     common = {r[0] for r in common_words.select(F.lower("word")).where("word is not null").limit(MAX_COMMON).collect()}
     scope = documents.where(F.col("document_type").isin(*PROSE_TYPES) & F.col("text").rlike(r"[^\s\p{Z}\x{FEFF}]"))
     sample = scope.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = sample.join(text_statistics(sample, common_words), "doc_id").collect()
+    rows = sample.join(text_statistics(sample, common_words), "doc_id").orderBy("doc_id").collect()
     labels = [label_of(r["text"], common) for r in rows]
     kept = [(r, y) for r, y in zip(rows, labels) if y is not None]
     return np.array([[float(r[f]) for f in FEATURES] for r, _ in kept]).reshape(-1, len(FEATURES)), np.array([y for _, y in kept], bool)

@@ -1,7 +1,11 @@
+import os
+
 import numpy as np
+import pytest
 
 from folioscope.llm import quality as Q
 
+TABLES = "/root/testdata/sf0.1"
 PROSE = "The team found that the road to the village was closed for the winter, and so they went by boat. It was not the first time.\nNobody had thought of that when the plan was made."
 TABLE = "\n".join(f"| {i} | {i * 37} | 2024-01-0{i % 9 + 1} | item{i} |" for i in range(20))
 
@@ -55,6 +59,18 @@ def test_held_out_accuracy_of_default_rules(spark):
     assert got == set(range(40, 80))
 
 
+def test_numbers_of_entries_end_no_sentence(spark):
+    texts = ["1. Alpha beta\n2. Gamma\n  3. Delta", "We met in 2020. It was late.", "1. We met. It was late."]
+    rows = Q.text_statistics(_docs(spark, texts), _common(spark)).orderBy("doc_id").collect()
+    assert [round(r.sentence_ends * r.word_count) for r in rows] == [0, 2, 2]
+
+
+@pytest.mark.skipif(not os.path.exists(TABLES), reason="no tables to learn from")
+def test_rules_are_what_the_fit_gives(spark):
+    x, y = Q.labelled_sample(spark.read.parquet(f"{TABLES}/documents.parquet"), spark.read.parquet(f"{TABLES}/common_words.parquet"))
+    assert Q.fit_rules(x, y) == Q.RULES
+
+
 def test_labels():
     common = set("the of and to a in is it that was for on".split())
     assert Q.label_of(PROSE, common) is False and Q.label_of(TABLE, common) is True and Q.label_of(" ", common) is None
