@@ -59,7 +59,7 @@ def run(args: argparse.Namespace, engine: Engine) -> object:
             return engine.status()
         case "search" | "semantic-search":
             more = vars(args)
-            q = search.SearchQuery(args.query, args.limit or 10, more.get("type"), more.get("ext"), more.get("path"))
+            q = search.SearchQuery(args.query, args.limit or engine.config.search.default_limit, more.get("type"), more.get("ext"), more.get("path"))
             return engine.results(q, "semantic" if args.command == "semantic-search" else args.mode or "hybrid")
         case "embed":
             return engine.embed()

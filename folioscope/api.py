@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.config import EngineConfig
 from folioscope.embedding import provider
+from folioscope.functions import text as X
 from folioscope.metrics import Metrics
 from folioscope.operators import context, graph, index, read, search
 
@@ -65,7 +66,7 @@ class Engine:
     def embed(self) -> int:
         if self.embedder is None:
             raise RuntimeError("no embedding provider is configured")
-        return index.backfill_embeddings(self.store, self.embedder)
+        return index.backfill_embeddings(self.store, self.embedder, self.config.embedding.batch_size)
 
     def build_relationships(self, **options) -> int:
         return index.rebuild_edges(self.store, **options)
@@ -76,16 +77,17 @@ class Engine:
 
     def search(self, query: search.SearchQuery | str, mode: str = "hybrid") -> DataFrame:
         """mode: text (or fts), semantic, hybrid; unknown modes are hybrid."""
-        q = search.SearchQuery(query) if isinstance(query, str) else query
+        q = search.SearchQuery(query, self.config.search.default_limit) if isinstance(query, str) else query
+        preview = min(X.PREVIEW, self.config.search.max_preview_length)
         if mode in ("text", "fts"):
-            return search.text_search(self.chunks, self.documents, q)
+            return search.text_search(self.chunks, self.documents, q, postings=self.store.postings(), preview=preview)
         if mode == "semantic":
             if self.embedder is None:
                 raise RuntimeError("semantic search needs an embedding provider")
             vector = self._vector(q.text) or [0.0] * self.config.embedding.dimension
-            return search.semantic_search(self.chunks, self.documents, q, vector)
+            return search.semantic_search(self.chunks, self.documents, q, vector, preview)
         s = self.config.search
-        return search.hybrid_search(self.chunks, self.documents, q, self._vector(q.text), weights=(s.fts_weight, s.semantic_weight), k=s.rrf_k)
+        return search.hybrid_search(self.chunks, self.documents, q, self._vector(q.text), weights=(s.fts_weight, s.semantic_weight), k=s.rrf_k, postings=self.store.postings(), preview=preview)
 
     def results(self, query: search.SearchQuery | str, mode: str = "hybrid") -> list[dict]:
         started = time.perf_counter()

@@ -49,13 +49,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` if the scan has fewer partitions than the cluster has cores.
+def spread(df: DataFrame, *keys: str, least: int = 0) -> DataFrame:
+    """Hash-partition by ``keys`` if the scan has fewer partitions than the cluster has cores (or
+    than ``least``).
 
     Used in front of CPU-heavy Python stages only; a scan that already has enough splits is left
     alone, so no shuffle is added at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = max(df.sparkSession.sparkContext.defaultParallelism, least)
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(2 * cores, *keys)

@@ -151,6 +151,17 @@ def stem(word: str) -> str:
     return w.lower()
 
 
+def word_parts(term: str, analyzer: str = "english") -> list[str]:
+    """Strings of which each word with that term contains one.
+
+    Stemming changes at most the last two letters of what it keeps of a word, apart from the words
+    that the algorithm treats by themselves, which are listed whole.
+    """
+    if analyzer == "simple":
+        return [term]
+    return [term[: max(2, len(term) - 2)], *(w for w, t in _SPECIAL.items() if t == term)]
+
+
 def terms(text: str | None, analyzer: str = "english") -> list[tuple[str, int]]:
     """Terms of a text with their 1-based positions."""
     out = []

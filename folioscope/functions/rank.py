@@ -39,10 +39,9 @@ def cover_density(query: WebQuery, held: dict[str, list[int]]) -> float:
             latest[k] = max(latest.get(k, -1), start)
             if len(latest) == len(spans):
                 covers.add((min(latest.values()), end))
-    minimal = [c for c in covers if not any(d != c and c[0] <= d[0] and d[1] <= c[1] for d in covers)] if len(covers) < 2000 else _minimal(covers)
     known = {p for t in query.words for p in held.get(t, ())}
     score = 0.0
-    for a, b in sorted(minimal):
+    for a, b in sorted(_minimal(covers)):
         n = sum(p in known for p in range(a, b + 1)) if b - a < 64 else sum(a <= p <= b for p in known)
         score += WEIGHT / (1 + max(0, (b - a) - (max(n, 1) - 1)))
     return score

@@ -16,17 +16,12 @@ def summarise(calls: DataFrame) -> DataFrame:
     return calls.groupBy("tool").agg(F.bround(F.avg("duration_ms"), 2).alias("avg_ms"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("failures"))
 
 
-def run_counters(files: DataFrame) -> DataFrame:
-    """``(status, n, chunks)`` of an index run's files ``(status, n_chunks)``."""
-    return files.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_chunks"), F.lit(0)).cast("bigint").alias("chunks"))
-
-
 class Metrics:
     """Counters of one process; safe to use from several threads."""
 
     def __init__(self) -> None:
         self._lock = threading.Lock()
-        self.runs = {"scanned": 0, "indexed": 0, "skipped": 0, "failed": 0, "deleted": 0, "chunks": 0}
+        self.runs = {"scanned": 0, "indexed": 0, "skipped": 0, "failed": 0, "deleted": 0, "chunks": 0, "duration_ms": 0}
         self.last_indexed: datetime | None = None
         self.searches: dict[str, list[float]] = defaultdict(list)
         self.calls: dict[str, list[float]] = defaultdict(list)

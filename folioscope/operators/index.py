@@ -1,26 +1,36 @@
 """The index: tables under a root, incremental runs, deletes, embeddings.
 
-Tables are Parquet in numbered generations.  A change writes a whole new generation beside the
-old one and then commits it by a marker, so readers never see a half-written state and a failed
-or repeated run leaves the last one intact.  Ids are stable hashes of the path (and position), so
-edges stay valid when a file is indexed again.
+Tables are Parquet in buckets of documents.  The last bits of every id are those of its document's,
+so one expression tells the bucket of a document, its parts and the edges that start at them.  A
+change rewrites the buckets that it touches into new folders and then commits a manifest that names
+the folder of each bucket, so readers never see a half-written state and a failed or repeated run
+leaves the last one intact.  Ids are stable hashes of the path (and position), so edges stay valid
+when a file is indexed again.
+
+Beside the tables lie postings for full-text search, in buckets of terms.  A run appends those of the
+documents that it indexed; postings carry the version of their document, so stale ones are told by
+that until they are merged.  One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import schemas
-from folioscope.cluster import materialise
+from folioscope.cluster import materialise, spread
 from folioscope.config import EngineConfig
 from folioscope.functions import text as X
-from folioscope.operators import chunking, graph
+from folioscope.operators import chunking, graph, search
 from folioscope.operators.filters import distinct_chunks, unembedded
 from folioscope.sources import scan as source
 
@@ -35,49 +45,146 @@ def classify(scanned: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status"))
 
 
+#: Buckets of a new index, a power of two; and the bits that all ids of a document share.
+BUCKETS = 64
+SHARED_BITS = 12
+#: Segments of postings beyond which they are merged.
+MOST_SEGMENTS = 16
+#: The id that tells the bucket of a table's rows.
+OWNER = {"documents": "doc_id", "document_sections": "document_id", "document_chunks": "document_id", "symbols": "document_id", "relationships": "source_id"}
+
+
 class Store:
-    """The five tables under a folder."""
+    """The five tables under a folder, and their postings."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+        if buckets & (buckets - 1) or not 1 <= buckets <= 1 << SHARED_BITS:
+            raise ValueError(f"buckets must be a power of two up to {1 << SHARED_BITS}")
+        self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path, self._text = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
     def create(self) -> None:
         """M7: empty tables, unless there are some."""
         if self.generation() is None:
-            self.write({name: self.spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()})
+            self._commit({"buckets": self._buckets, "tables": {name: {} for name in schemas.TABLES}, "postings": []}, 1)
 
     def generation(self) -> int | None:
         """The newest committed generation."""
-        if not self._fs.exists(self._path(self.root)):
-            return None
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        done = [int(n.removeprefix("committed-")) for n in names if n.startswith("committed-")]
+        done = [int(n.removeprefix("manifest-").removesuffix(".json")) for n in self._names(self.root) if n.startswith("manifest-") and n.endswith(".json")]
         return max(done, default=None)
 
-    def table(self, name: str) -> DataFrame:
-        at = self.generation()
+    def manifest(self, generation: int | None = None) -> dict:
+        at = self.generation() if generation is None else generation
         if at is None:
             raise FileNotFoundError(f"no index in {self.root}")
-        return self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.root}/generation-{at}/{name}.parquet")
-
-    def write(self, changed: dict[str, DataFrame], keep: int = 2) -> int:
-        """A new generation with the changed tables, the others as they are; the last ``keep``
+        stream = self._fs.open(self._path(f"{self.root}/manifest-{at}.json"))
+        try:
+            return json.loads(self._text.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, manifest: dict, generation: int) -> None:
+        """Written whole under another name first; the renaming is what commits it."""
+        new = self._path(f"{self.root}/manifest-{generation}.json.new")
+        out = self._fs.create(new, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not self._fs.rename(new, self._path(f"{self.root}/manifest-{generation}.json")):
+            raise OSError(f"generation {generation} was committed by another writer")
+
+    @property
+    def buckets(self) -> int:
+        return self.manifest()["buckets"] if self.generation() is not None else self._buckets
+
+    def bucket_of(self, key: Column) -> Column:
+        return F.pmod(key, F.lit(self.buckets)).cast("int")
+
+    def _parquet(self, schema, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/data/{x}" for x in folders)) if folders else self.spark.createDataFrame([], schema)
+
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or its given buckets."""
+        held = self.manifest()["tables"][name]
+        return self._parquet(schemas.TABLES[name], [f for b, f in sorted(held.items()) if buckets is None or int(b) in buckets])
+
+    def postings(self) -> DataFrame:
+        """All segments, each of which is partitioned by ``bucket``."""
+        segments = [self._parquet(schemas.POSTINGS, [x]) for x in self.manifest()["postings"]]
+        return reduce(DataFrame.unionByName, segments) if segments else self._parquet(schemas.POSTINGS, [])
+
+    def touched(self, *keys: DataFrame) -> list[int]:
+        """The buckets of ids in one-column frames."""
+        ids = None
+        for k in keys:
+            k = k.toDF("k")
+            ids = k if ids is None else ids.unionByName(k)
+        return sorted(r[0] for r in ids.select(self.bucket_of(F.col("k")).alias("b")).distinct().collect())
+
+    def _written(self, rows: DataFrame, name: str, generation: int) -> dict[str, str]:
+        """Write rows by their column ``bucket``; bucket -> folder of those that have rows."""
+        folder = f"{name}-{generation}-{uuid.uuid4().hex[:8]}"
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
+        return {n.removeprefix("bucket="): f"{folder}/{n}" for n in self._names(f"{self.root}/data/{folder}") if n.startswith("bucket=")}
+
+    def write(self, changed: dict[str, DataFrame], touched: dict[str, list[int]] | None = None, fresh_postings: DataFrame | None = None, keep: int = 2) -> int:
+        """A new generation.  ``changed``: all rows of the tables' ``touched`` buckets (of all buckets
+        where a table isn't in ``touched``); other buckets stay as they are.  The last ``keep``
         generations stay for running readers."""
+        self.create()
         old = self.generation()
-        new = (old or 0) + 1
-        for name in schemas.TABLES:
-            rows = changed[name] if name in changed else self.table(name)
+        new, manifest = old + 1, self.manifest(old)
+        for name, rows in changed.items():
             columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name]]
-            rows.select(*columns).write.mode("overwrite").parquet(f"{self.root}/generation-{new}/{name}.parquet")
-        self._fs.create(self._path(f"{self.root}/committed-{new}"), True).close()
-        for at in range(1, new - keep + 1):
-            self._fs.delete(self._path(f"{self.root}/committed-{at}"), False)
-            self._fs.delete(self._path(f"{self.root}/generation-{at}"), True)
+            keyed = rows.select(*columns).withColumn("bucket", F.pmod(F.col(OWNER[name]), F.lit(manifest["buckets"])).cast("int"))
+            kept = {} if touched is None or name not in touched else {b: f for b, f in manifest["tables"][name].items() if int(b) not in touched[name]}
+            manifest["tables"][name] = {**kept, **self._written(keyed, name, new)}
+        if fresh_postings is not None:
+            if self._written(fresh_postings.sortWithinPartitions("term", "chunk_id"), "postings", new):
+                manifest["postings"].append(next(n for n in self._names(f"{self.root}/data") if n.startswith(f"postings-{new}-")))
+        self._commit(manifest, new)
+        self._clear(new, keep)
         return new
 
+    def _clear(self, new: int, keep: int) -> None:
+        """Delete old manifests and the folders that no kept one names."""
+        for n in self._names(self.root):
+            if n.startswith("manifest-") and n.endswith(".json") and int(n[9:-5]) <= new - keep:
+                self._fs.delete(self._path(f"{self.root}/{n}"), False)
+        used = set()
+        for at in range(max(1, new - keep + 1), new + 1):
+            if self._fs.exists(self._path(f"{self.root}/manifest-{at}.json")):
+                m = self.manifest(at)
+                used |= {f for t in m["tables"].values() for f in t.values()} | set(m["postings"])
+        for folder in self._names(f"{self.root}/data"):
+            if folder in used:
+                continue
+            parts = [n for n in self._names(f"{self.root}/data/{folder}") if n.startswith("bucket=")]
+            live = [n for n in parts if f"{folder}/{n}" in used]
+            for n in parts if live else []:
+                if n not in live:
+                    self._fs.delete(self._path(f"{self.root}/data/{folder}/{n}"), True)
+            if not live:
+                self._fs.delete(self._path(f"{self.root}/data/{folder}"), True)
+
+    def merge_postings(self, most: int = MOST_SEGMENTS) -> None:
+        """Segments of postings as one, without stale ones, if there are more than ``most``."""
+        manifest = self.manifest()
+        if len(manifest["postings"]) <= most:
+            return
+        live = self.table("documents").select(F.col("doc_id").alias("document_id"), search.version_of(F.col("hash")).alias("version"))
+        rows = self.postings().join(live, ["document_id", "version"], "left_semi").select(*schemas.POSTINGS.fieldNames())
+        new = self.generation() + 1
+        self._written(rows.repartition("bucket").sortWithinPartitions("bucket", "term", "chunk_id"), "postings", new)
+        manifest["postings"] = [n for n in self._names(f"{self.root}/data") if n.startswith(f"postings-{new}-")]
+        self._commit(manifest, new)
+        self._clear(new, 2)
+
     def by_path(self, path: str) -> DataFrame:
         return self.table("documents").where(F.col("path") == path)
 
@@ -103,17 +210,24 @@ def parsed_files(files: DataFrame, normalise_types: bool = False) -> DataFrame:
 
 
 def _key(*parts) -> Column:
-    """A non-negative 63-bit id from a path and a position."""
+    """A non-negative 63-bit id from a path and a position; the last bits are the path's alone."""
+    shared, own = F.lit((1 << SHARED_BITS) - 1), F.lit((1 << 63) - (1 << SHARED_BITS))
+    return F.xxhash64(*parts).bitwiseAND(own).bitwiseOR(F.xxhash64(parts[0]).bitwiseAND(shared))
+
+
+def _edge_key(*parts) -> Column:
     return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def index_rows(parsed: DataFrame, indexed_at: datetime) -> dict[str, DataFrame]:
-    """Rows of the document, section, chunk and symbol tables of parsed files without error."""
+def index_rows(parsed: DataFrame, indexed_at: datetime, sanitise: bool = True) -> dict[str, DataFrame]:
+    """Rows of the document, section, chunk and symbol tables of parsed files without error;
+    ``sanitise`` removes control characters from texts."""
+    clean = X.sanitise if sanitise else lambda t: F.coalesce(t, F.lit(""))
     ok = parsed.where("parsed.error is null").withColumn("doc", _key(F.col("path")))
     none = lambda kind: F.lit(None).cast(kind)
     empty = lambda m: F.when(F.size(m) > 0, m)
     documents = ok.select(
-        F.col("doc").alias("doc_id"), F.array_join(F.transform("parsed.sections", lambda s: X.sanitise(s["content"])), "\n\n").alias("text"), "path", X.basename(F.col("path")).alias("filename"), "extension",
+        F.col("doc").alias("doc_id"), F.array_join(F.transform("parsed.sections", lambda s: clean(s["content"])), "\n\n").alias("text"), "path", X.basename(F.col("path")).alias("filename"), "extension",
         none("string").alias("mime_type"), F.col("parsed.title").alias("title"), F.col("parsed.document_type").alias("document_type"), "size", "hash", "modified_at",
         F.lit(indexed_at).cast("timestamp").alias("indexed_at"), none("string").alias("parser"), F.col("parsed.language").alias("language"), empty(F.col("parsed.metadata")).alias("metadata"),
     )
@@ -121,7 +235,7 @@ def index_rows(parsed: DataFrame, indexed_at: datetime) -> dict[str, DataFrame]:
     sections = s.select(_key(F.col("path"), F.lit("section"), F.col("i")).alias("id"), F.col("doc").alias("document_id"), none("bigint").alias("parent_id"), F.col("i").alias("section_index"), "s.title", "s.page_number", "s.slide_number", "s.sheet_name", "s.depth", empty(F.col("s.metadata")).alias("metadata"))
     c = ok.select("path", "doc", F.posexplode("chunks").alias("i", "c"))
     chunks = c.select(
-        _key(F.col("path"), F.lit("chunk"), F.col("i")).alias("id"), F.col("doc").alias("document_id"), none("bigint").alias("section_id"), F.col("i").alias("chunk_index"), X.sanitise(F.col("c.content")).alias("content"),
+        _key(F.col("path"), F.lit("chunk"), F.col("i")).alias("id"), F.col("doc").alias("document_id"), none("bigint").alias("section_id"), F.col("i").alias("chunk_index"), clean(F.col("c.content")).alias("content"),
         "c.token_count", "c.page_number", "c.slide_number", "c.sheet_name", "c.line_start", "c.line_end", "c.section_title", none("array<float>").alias("embedding"), empty(F.col("c.metadata")).alias("metadata"),
     )
     y = ok.select("path", "doc", F.posexplode("parsed.symbols").alias("i", "y"))
@@ -138,72 +252,94 @@ class IndexResult:
     failed: int = 0
     deleted: int = 0
     chunks: int = 0
+    duration_ms: int = 0
 
 
-def _without(store: Store, gone: DataFrame) -> dict[str, DataFrame]:
-    """The tables without the documents of ``gone (doc_id)``, their children, and edges at them."""
-    key = gone.select("doc_id").distinct()
-    out = {"documents": store.table("documents").join(key, "doc_id", "left_anti")}
+def _without(store: Store, gone: DataFrame, extra: list[int] = []) -> tuple[dict[str, DataFrame], dict[str, list[int]]]:  # noqa: B006
+    """The touched buckets (those of ``gone (doc_id)``, and ``extra``) without the documents of
+    ``gone``, their children, and edges at them; and which buckets those are, by table."""
+    key = materialise(gone.select("doc_id").distinct(), "gone")
+    own = sorted({*store.touched(key), *extra})
+    out = {"documents": store.table("documents", own).join(key, "doc_id", "left_anti")}
     lost = key.select(F.lit("Document").alias("t"), F.col("doc_id").alias("i"))
     for name, kind in (("document_sections", "Section"), ("document_chunks", "Chunk"), ("symbols", "Symbol")):
-        rows = store.table(name)
+        rows = store.table(name, own)
         of = key.select(F.col("doc_id").alias("document_id"))
         out[name] = rows.join(of, "document_id", "left_anti")
         lost = lost.unionByName(rows.join(of, "document_id", "left_semi").select(F.lit(kind).alias("t"), F.col("id").alias("i")))
-    edges = store.table("relationships")
+    lost = materialise(lost.distinct(), "lost")
+    at = lambda end: lost.select(F.col("t").alias(f"{end}_type"), F.col("i").alias(f"{end}_id"))
+    # Edges that start at what is lost lie in its buckets; those that lead there may lie in any.
+    into = store.table("relationships").select("source_id", "target_type", "target_id").join(at("target"), ["target_type", "target_id"], "left_semi")
+    touched = sorted({*own, *store.touched(into.select("source_id"))})
+    edges = store.table("relationships", touched)
     for end in ("source", "target"):
-        edges = edges.join(lost.select(F.col("t").alias(f"{end}_type"), F.col("i").alias(f"{end}_id")).distinct(), [f"{end}_type", f"{end}_id"], "left_anti")
+        edges = edges.join(at(end), [f"{end}_type", f"{end}_id"], "left_anti")
     out["relationships"] = edges
-    return out
+    return out, {**dict.fromkeys(out, own), "relationships": touched}
 
 
-def run_index(store: Store, root: str, config: EngineConfig | None = None, prune_outside_root: bool = False, force: bool = False, normalise_types: bool = False, embedder: Embedder | None = None, only: str | None = None) -> IndexResult:
+def run_index(store: Store, root: str, config: EngineConfig | None = None, prune_outside_root: bool = False, force: bool = False, normalise_types: bool = False, embedder: Embedder | None = None, only: str | list[str] | None = None) -> IndexResult:
     """M3: bring the index up to date with a directory.
 
     New and changed files (by content hash) are parsed, unchanged ones skipped, and documents
     under the root whose file is gone removed; ``prune_outside_root`` removes all others too.
-    ``only`` restricts the run to one path (M4), ``force`` parses unchanged files as well.  A file
-    that can't be parsed counts as failed and leaves its stored document as it was.
+    ``only`` restricts the run to one path (M4) or a few: no other file is read or hashed.  ``force``
+    parses unchanged files as well.  A file that can't be parsed counts as failed and leaves its
+    stored document as it was.  Only the buckets of documents that change are rewritten.
     """
+    began = time.perf_counter()
     config = config or EngineConfig()
     store.create()
-    files = source.scan(store.spark, root, config.indexing, config.security)
+    paths = [only] if isinstance(only, str) else only
+    files = source.scan(store.spark, root, config.indexing, config.security, paths=paths)
     stored = store.table("documents").select("path", "hash", "doc_id")
-    if only is not None:
-        files, stored = files.where(F.col("path") == only), stored.where(F.col("path") == only)
+    if paths is not None:
+        stored = stored.where(F.col("path").isin(paths))
     elif not prune_outside_root:
         stored = stored.where(F.col("path").startswith(source.os.path.abspath(root).rstrip("/") + "/") if "://" not in root else F.col("path").startswith(root.rstrip("/") + "/"))
     status = materialise(classify(files.select("path", "hash"), stored), "status")
     counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     result = IndexResult(scanned=sum(n for s, n in counts.items() if s != "deleted"), deleted=counts.get("deleted", 0), skipped=0 if force else counts.get("unchanged", 0))
     todo = status.where(F.col("status").isin("new", "changed", *(["unchanged"] if force else []))).select("path")
-    parsed = materialise(parsed_files(files.join(todo, "path", "left_semi"), normalise_types), "parsed")
+    # Parsing is what takes time, so a few files are spread over at least so many tasks.
+    wanted = spread(files, "path", least=config.indexing.max_parallelism).join(todo, "path", "left_semi")
+    parsed = materialise(parsed_files(wanted, normalise_types), "parsed")
     seen = parsed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("parsed.error").isNotNull()).alias("bad"), F.sum(F.when(F.col("parsed.error").isNull(), F.size("chunks"))).alias("chunks")).first()
     result.failed, result.indexed, result.chunks = seen["bad"], seen["n"] - seen["bad"], seen["chunks"] or 0
-    if not result.indexed and not result.deleted:
-        return result
-    fresh = index_rows(parsed, datetime.now(timezone.utc).replace(tzinfo=None))
-    if embedder is not None:
-        fresh["document_chunks"] = embed_missing(fresh["document_chunks"], embedder)
-    done = parsed.where("parsed.error is null").select("path").unionByName(status.where("status = 'deleted'").select("path"))
-    gone = stored.join(done, "path", "left_semi")
-    rest = _without(store, gone)
-    store.write({name: rest[name].unionByName(fresh[name]) if name in fresh else rest[name] for name in rest})
+    if result.indexed or result.deleted:
+        fresh = index_rows(parsed, datetime.now(timezone.utc).replace(tzinfo=None), config.security.sanitize_content)
+        if embedder is not None:
+            fresh["document_chunks"] = embed_missing(fresh["document_chunks"], embedder, config.embedding.batch_size)
+        done = parsed.where("parsed.error is null").select("path").unionByName(status.where("status = 'deleted'").select("path"))
+        rest, touched = _without(store, stored.join(done, "path", "left_semi"), store.touched(fresh["documents"].select("doc_id")))
+        rows = {name: rest[name].unionByName(fresh[name]) if name in fresh else rest[name] for name in rest}
+        store.write(rows, touched, fresh_postings(fresh) if result.indexed else None)
+        store.merge_postings()
+    result.duration_ms = round(1000 * (time.perf_counter() - began))
     return result
 
 
+def fresh_postings(fresh: dict[str, DataFrame]) -> DataFrame:
+    """Rows of ``schemas.POSTINGS`` of the chunks of :func:`index_rows`."""
+    versions = fresh["documents"].select(F.col("doc_id").alias("document_id"), search.version_of(F.col("hash")).alias("version"))
+    rows = search.build_postings(fresh["document_chunks"]).join(versions, "document_id")
+    return rows.withColumn("bucket", search.term_bucket(F.col("term"))).select(*schemas.POSTINGS.fieldNames())
+
+
 def delete_path(store: Store, path: str) -> bool:
     """M2: a document, its children and the edges at them."""
     gone = store.by_path(path).select("doc_id")
     if gone.isEmpty():
         return False
-    store.write(_without(store, gone))
+    store.write(*_without(store, gone))
     return True
 
 
 def embed_missing(chunks: DataFrame, embedder: Embedder, batch: int = 32) -> DataFrame:
-    """M5, M8: chunks with an embedding where they had none and aren't blank.  A batch whose
-    embedding fails keeps null; vectors that are not finite count as failed."""
+    """M5, M8: chunks with an embedding where they had none and aren't blank, in the order of their
+    ids within a task, ``batch`` contents a call.  A batch whose embedding fails keeps null; vectors
+    that are not finite count as failed."""
     schema = chunks.schema
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,22 +360,24 @@ def embed_missing(chunks: DataFrame, embedder: Embedder, batch: int = 32) -> Dat
             part["metadata"] = part["metadata"].map(lambda m: dict(m) if m is not None else None)
             yield part
 
-    return chunks.mapInPandas(run, schema)
+    return chunks.sortWithinPartitions("id").mapInPandas(run, schema)
 
 
-def backfill_embeddings(store: Store, embedder: Embedder) -> int:
-    """M5 on the stored index; the number of chunks that were without."""
-    chunks = store.table("document_chunks")
-    n = distinct_chunks(chunks.where(unembedded()).select("id")).count()
-    if n:
-        store.write({"document_chunks": embed_missing(chunks, embedder)})
-    return n
+def backfill_embeddings(store: Store, embedder: Embedder, batch: int = 32) -> int:
+    """M5 on the stored index; the number of chunks that were without.  Only their buckets are
+    rewritten."""
+    todo = distinct_chunks(store.table("document_chunks").where(unembedded()).select("id", "document_id"))
+    found = todo.groupBy(store.bucket_of(F.col("document_id")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if found:
+        buckets = [r["b"] for r in found]
+        store.write({"document_chunks": embed_missing(store.table("document_chunks", buckets), embedder, batch)}, {"document_chunks": buckets})
+    return sum(r["n"] for r in found)
 
 
 def rebuild_edges(store: Store, parents: bool = False, max_symbols: int | None = None) -> int:
     """All edges anew, with ids from their content, so building twice gives the same."""
     t = store.table
     edges = graph.build_all(t("documents"), t("document_sections"), t("document_chunks"), t("symbols"), parents, max_symbols)
-    keyed = edges.withColumn("id", _key("source_type", "source_id", "target_type", "target_id", "relationship_type"))
+    keyed = edges.withColumn("id", _edge_key("source_type", "source_id", "target_type", "target_id", "relationship_type"))
     store.write({"relationships": keyed})
     return store.table("relationships").count()

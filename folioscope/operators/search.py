@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from folioscope.cluster import spread
 from folioscope.functions import text as X
-from folioscope.functions.analyze import WebQuery, english_postings, parse_web_query, positions, simple_tokens
+from folioscope.functions.analyze import WebQuery, english_postings, parse_web_query, positions, simple_tokens, word_parts
 from folioscope.functions.rank import cover_density, headline, matches
 from folioscope.operators.filters import distinct_chunks, document_filter
 
@@ -69,8 +70,8 @@ def _simple_score(query: WebQuery, tokens: Column) -> Column:
 def full_text_scores(chunks: DataFrame, query: WebQuery, analyzer: str = "english") -> DataFrame:
     """``(chunk_id, document_id, fts_rank)`` of the matching chunks.
 
-    A cheap JVM filter drops chunks that lack the query's words before anything is tokenised in
-    Python.  Plain conjunctions of up to two words under ``simple`` need no Python at all.
+    Without postings: a cheap JVM filter drops chunks that can't match before anything is tokenised
+    in Python.  Plain conjunctions of up to two words under ``simple`` need no Python at all.
     """
     rows = chunks.select("id", "document_id", "content").where(F.col("content").isNotNull())
     plain = analyzer == "simple" and len(query.groups) == 1 and len(query.groups[0]) == len(query.words) <= 2 and all(not p.negated and len(p.terms) == 1 for p in query.groups[0])
@@ -84,15 +85,14 @@ def full_text_scores(chunks: DataFrame, query: WebQuery, analyzer: str = "englis
         scored = tokens.select(F.col("id").alias("chunk_id"), "document_id", _simple_score(query, F.col("_w")).alias("fts_rank"))
         return scored.dropDuplicates(["chunk_id"])
 
-    # Each alternative needs at least one of its positive terms; a stem is a prefix of most of
-    # its words, so its first letters must occur.
+    # Each alternative needs all of its positive terms, and so a part of a word of each.
     some = F.lit(False)
     for group in query.groups:
         on = F.lit(True)
         for p in group:
             if not p.negated:
                 for t, _ in p.terms:
-                    on &= F.lower("content").contains(t[: max(2, len(t) - 2)] if analyzer == "english" else t)
+                    on &= reduce(Column.__or__, (F.lower("content").contains(x) for x in word_parts(t, analyzer)))
         some |= on
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,10 +106,45 @@ def full_text_scores(chunks: DataFrame, query: WebQuery, analyzer: str = "englis
     return spread(rows.where(some), "id").mapInPandas(run, "chunk_id bigint, document_id bigint, fts_rank double").dropDuplicates(["chunk_id"])
 
 
-def _dress(top: DataFrame, chunks: DataFrame, documents: DataFrame, headline_of: Callable | None = None) -> DataFrame:
+#: Term buckets of stored postings.
+TERM_BUCKETS = 64
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def posting_scores(postings: DataFrame, query: WebQuery) -> DataFrame:
+    """``(chunk_id, document_id, version, fts_rank)`` of the matching chunks, from the postings
+    ``(bucket, term, chunk_id, document_id, version, positions)`` of an index.
+
+    Only the buckets and terms of the query are read.  Chunks that lack a term which every
+    alternative needs are dropped as soon as their terms are together, before anything is ranked.
+    """
+    words = query.all_words
+    spark = postings.sparkSession
+    buckets = [r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(term_bucket(F.col("term"))).distinct().collect()]
+    hits = postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(words))
+    held = hits.groupBy("chunk_id", "document_id", "version").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("term", "positions")))).alias("held"))
+    some = F.lit(False)
+    for group in query.groups:
+        needed = {t for p in group if not p.negated for t, _ in p.terms}
+        some |= reduce(Column.__and__, (F.map_contains_key("held", t) for t in sorted(needed)), F.lit(True))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [{t: list(at) for t, at in dict(h).items()} for h in batch["held"]]
+            keep = [matches(query, h) for h in found]
+            out = batch.loc[keep, ["chunk_id", "document_id", "version"]]
+            yield out.assign(fts_rank=[cover_density(query, h) for h, k in zip(found, keep) if k])
+
+    return held.where(some).mapInPandas(run, "chunk_id bigint, document_id bigint, version bigint, fts_rank double")
+
+
+def _dress(top: DataFrame, chunks: DataFrame, documents: DataFrame, headline_of: Callable | None = None, preview: int = X.PREVIEW) -> DataFrame:
     """Titles, places and previews of the few result rows ``(chunk_id, score, ...)``."""
     parts = distinct_chunks(chunks.select(F.col("id"), "content", "section_title", *PLACE).join(F.broadcast(top.select(F.col("chunk_id").alias("id"))), "id", "left_semi")).withColumnRenamed("id", "chunk_id")
-    shown = X.preview(F.col("content"))
+    shown = X.preview(F.col("content"), preview)
     if headline_of is not None:
         lead = headline_of(F.col("content"))
         shown = F.when(lead != "", lead).otherwise(shown)
@@ -124,42 +159,62 @@ def _headline_udf(query: WebQuery, analyzer: str):
     return run
 
 
-def text_top(chunks: DataFrame, documents: DataFrame, query: SearchQuery, analyzer: str = "english", limit: int | None = None) -> DataFrame:
+def text_top(chunks: DataFrame, documents: DataFrame, query: SearchQuery, analyzer: str = "english", limit: int | None = None, postings: DataFrame | None = None) -> DataFrame:
     """The best chunks by text alone: ``chunk_id, document_id, path, filename, document_type,
-    fts_rank``.  Ties go to the smaller chunk id."""
+    fts_rank``.  Ties go to the smaller chunk id.
+
+    With ``postings`` (those of :func:`posting_scores`, of the same analyser) contents aren't read;
+    postings of another version than the document's are stale and left out.
+    """
     parsed = parse_web_query(query.text, analyzer)
     docs = _documents(documents, query)
     if not (query.text or "").strip() or not parsed.groups:
         empty = _no_rows(chunks.select(F.col("id").alias("chunk_id"), "document_id")).withColumn("fts_rank", F.lit(0.0))
         return empty.join(docs, "document_id").select("chunk_id", "document_id", "path", "filename", "document_type", "fts_rank")
-    scored = full_text_scores(chunks, parsed, analyzer)
-    joined = scored.join(docs, "document_id").select("chunk_id", "document_id", "path", "filename", "document_type", "fts_rank")
+    if postings is None:
+        joined = full_text_scores(chunks, parsed, analyzer).join(docs, "document_id")
+    else:
+        now = documents.select(F.col("doc_id").alias("document_id"), version_of(F.col("hash")).alias("version"))
+        joined = posting_scores(postings, parsed).join(now, ["document_id", "version"]).join(docs, "document_id")
+    joined = joined.select("chunk_id", "document_id", "path", "filename", "document_type", "fts_rank")
     return joined.orderBy(F.desc(F.round("fts_rank", 9)), "chunk_id").limit(limit or query.top)
 
 
-def text_search(chunks: DataFrame, documents: DataFrame, query: SearchQuery, analyzer: str = "english") -> DataFrame:
+def version_of(hash_: Column) -> Column:
+    """The version of a document by its content hash."""
+    return F.xxhash64(hash_)
+
+
+def text_search(chunks: DataFrame, documents: DataFrame, query: SearchQuery, analyzer: str = "english", postings: DataFrame | None = None, preview: int = X.PREVIEW) -> DataFrame:
     """``RESULT_COLUMNS`` plus ``score_components``; score is the cover density."""
     parsed = parse_web_query(query.text, analyzer)
-    top = text_top(chunks, documents, query, analyzer).withColumn("score", F.col("fts_rank"))
-    dressed = _dress(top, chunks, documents, _headline_udf(parsed, analyzer) if parsed.groups else None)
+    top = text_top(chunks, documents, query, analyzer, None, postings).withColumn("score", F.col("fts_rank"))
+    dressed = _dress(top, chunks, documents, _headline_udf(parsed, analyzer) if parsed.groups else None, preview)
     return dressed.select(*RESULT_COLUMNS, F.create_map(F.lit("fts_rank"), F.col("fts_rank")).alias("score_components")).orderBy(F.desc(F.round("score", 9)), "chunk_id")
 
 
+#: How often a chunk may be delivered.
+COPIES = 2
+
+
 def semantic_top(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float], limit: int | None = None) -> DataFrame:
     """The best chunks by cosine with ``vector``; chunks whose embedding is null, of another
     length, zero or not finite are no candidates."""
     rows = chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") == len(vector))).select(F.col("id").alias("chunk_id"), "document_id", X.cosine_to(F.col("embedding"), vector).alias("similarity"))
-    scored = rows.where(F.col("similarity").isNotNull() & ~F.isnan("similarity")).dropDuplicates(["chunk_id"])
+    scored = rows.where(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
     joined = scored.join(_documents(documents, query), "document_id").select("chunk_id", "document_id", "path", "filename", "document_type", "similarity")
-    return joined.orderBy(F.desc(F.round("similarity", 9)), "chunk_id").limit(limit or query.top)
+    # Copies of a row sort next to each other, so the best of all, with room for a copy of each,
+    # are enough; no other row is shuffled to find copies.
+    best, n = [F.desc(F.round("similarity", 9)), F.asc("chunk_id")], limit or query.top
+    return joined.orderBy(*best).limit(n * COPIES).dropDuplicates(["chunk_id"]).orderBy(*best).limit(n)
 
 
-def semantic_search(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float]) -> DataFrame:
+def semantic_search(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float], preview: int = X.PREVIEW) -> DataFrame:
     """R2: score is the cosine clamped to [0, 1]; the component keeps the raw value."""
     top = semantic_top(chunks, documents, query, vector).withColumn("score", X.clamp01(F.col("similarity")))
     if not (query.text or "").strip():
         top = _no_rows(top)
-    return _dress(top, chunks, documents).select(*RESULT_COLUMNS, F.create_map(F.lit("semantic_score"), F.col("similarity")).alias("score_components")).orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    return _dress(top, chunks, documents, None, preview).select(*RESULT_COLUMNS, F.create_map(F.lit("semantic_score"), F.col("similarity")).alias("score_components")).orderBy(F.desc(F.round("score", 9)), "chunk_id")
 
 
 def fuse(text_rows: DataFrame, semantic_rows: DataFrame, weights: tuple[float, float] = (0.4, 0.6), k: int = 60) -> DataFrame:
@@ -190,23 +245,23 @@ def fused_order() -> list:
     return [F.desc(F.round("score", 9)), F.asc_nulls_last("text_pos"), F.asc_nulls_last("semantic_pos"), F.asc("chunk_id")]
 
 
-def hybrid_top(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float], analyzer: str = "english", weights: tuple[float, float] = (0.4, 0.6), k: int = 60) -> DataFrame:
+def hybrid_top(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float], analyzer: str = "english", weights: tuple[float, float] = (0.4, 0.6), k: int = 60, postings: DataFrame | None = None) -> DataFrame:
     pool = max(3 * query.top, 30)
-    fused = fuse(text_top(chunks, documents, query, analyzer, pool), semantic_top(chunks, documents, query, vector, pool), weights, k)
+    fused = fuse(text_top(chunks, documents, query, analyzer, pool, postings), semantic_top(chunks, documents, query, vector, pool), weights, k)
     return fused.orderBy(*fused_order()).limit(query.top)
 
 
-def hybrid_search(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float] | None, analyzer: str = "english", weights: tuple[float, float] = (0.4, 0.6), k: int = 60) -> DataFrame:
+def hybrid_search(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float] | None, analyzer: str = "english", weights: tuple[float, float] = (0.4, 0.6), k: int = 60, postings: DataFrame | None = None, preview: int = X.PREVIEW) -> DataFrame:
     """Text and semantic search fused; without a vector (no provider) it is R1.
 
     The score is a hundred times the fused sum.  A chunk found by text shows the text preview.
     """
     if vector is None or not (query.text or "").strip():
-        return text_search(chunks, documents, query, analyzer)
+        return text_search(chunks, documents, query, analyzer, postings, preview)
     parsed = parse_web_query(query.text, analyzer)
-    fused = hybrid_top(chunks, documents, query, vector, analyzer, weights, k)
+    fused = hybrid_top(chunks, documents, query, vector, analyzer, weights, k, postings)
     named = F.broadcast(fused).join(documents.select(F.col("doc_id").alias("document_id"), "path", "filename", "document_type"), "document_id")
-    dressed = _dress(named, chunks, documents)
+    dressed = _dress(named, chunks, documents, None, preview)
     if parsed.groups:
         lead = _headline_udf(parsed, analyzer)(F.col("content"))
         dressed = dressed.withColumn("preview", F.when(F.col("text_pos").isNotNull() & (lead != ""), lead).otherwise(F.col("preview")))

@@ -28,6 +28,9 @@ RELATIONSHIPS = _struct({"id": _L, "source_id": _L, "source_type": _S, "target_i
 
 TABLES = {"documents": DOCUMENTS, "document_sections": SECTIONS, "document_chunks": CHUNKS, "symbols": SYMBOLS, "relationships": RELATIONSHIPS}
 
+#: Positions of a term in a chunk of one version of its document, in buckets of terms.
+POSTINGS = _struct({"bucket": _I, "term": _S, "chunk_id": _L, "document_id": _L, "version": _L, "positions": T.ArrayType(_I)})
+
 #: One section of a parsed file; ``depth`` from 0.
 SECTION = _struct({"title": _S, "content": _S, "depth": _I, "page_number": _I, "slide_number": _I, "sheet_name": _S, "line_start": _I, "line_end": _I, "metadata": _MAP})
 #: One symbol in pre-order; ``parent`` is the position of the enclosing symbol or null.

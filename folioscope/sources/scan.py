@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,18 @@ def plain_path(uri):
     return F.regexp_replace(uri, r"^file:/*(?=/)", "")
 
 
-def scan(spark: SparkSession, root: str, indexing: IndexingConfig | None = None, security: SecurityConfig | None = None, content: bool = True) -> DataFrame:
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def scan(spark: SparkSession, root: str, indexing: IndexingConfig | None = None, security: SecurityConfig | None = None, content: bool = True, paths: list[str] | None = None) -> DataFrame:
     """``(path, extension, size, modified_at, hash, content)`` of the files to index under a root.
 
     Directories whose name (the root's own included) is in the ignore list are left out, so are
     files larger than the limit, of other extensions, or restricted.  The size filter and the
     column list reach the file source; ``content=False`` reads no bytes (and gives no hash).
+    ``paths``: only those files, as far as they exist; nothing else is listed or read.
     """
     indexing, security = indexing or IndexingConfig(), security or SecurityConfig()
     local = "://" not in root
@@ -34,7 +41,13 @@ def scan(spark: SparkSession, root: str, indexing: IndexingConfig | None = None,
     wanted = [X.dotted(e).lower() for e in (indexing.include_extensions or DEFAULT_EXTENSIONS)]
     refused = {X.dotted(e).lower() for e in (*indexing.exclude_extensions, *security.restricted_extensions)}
     ignore = [x.lower() for x in indexing.ignore]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    reader = spark.read.format("binaryFile")
+    if paths is None:
+        files = reader.option("recursiveFileLookup", "true").load(base)
+    else:
+        there = [p for p in paths if (p.startswith(base.rstrip("/") + "/") or p == base) and _exists(spark, p)]
+        # A glob's special characters in a name are meant literally.
+        files = reader.load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in there]) if there else reader.load(base).where(F.lit(False))
     path = plain_path(F.col("path"))
     # Segments from the root's own name down, without the file's.
     above = os.path.dirname(base)

@@ -29,7 +29,7 @@ def _need(args: dict, name: str) -> str:
 
 
 def _search(engine: Engine, args: dict) -> object:
-    q = search.SearchQuery(_need(args, "query"), min(int(args.get("limit") or 10), 50), args.get("doc_type"), args.get("extension"), args.get("path_filter"))
+    q = search.SearchQuery(_need(args, "query"), min(int(args.get("limit") or engine.config.search.default_limit), 50), args.get("doc_type"), args.get("extension"), args.get("path_filter"))
     rows = engine.results(q, args.get("mode") or "hybrid")
     return [{**r, "score": round(r["score"], 4), "score_components": {k: round(v, 4) for k, v in r["score_components"].items()}} for r in rows]
 

@@ -65,6 +65,59 @@ def test_incremental_runs(engine, tree, tmp_path):
     assert engine.index(str(other), prune_outside_root=True).deleted == 3 and engine.documents.count() == 1
 
 
+def test_one_change_rewrites_one_bucket(spark, tree, tmp_path, monkeypatch):
+    store = index.Store(spark, str(tmp_path / "bucketed"), buckets=16)
+    for k in range(30):
+        (tree / f"docs/n{k}.txt").write_text(f"Note number {k} about lying and tables.\n")
+    first = index.run_index(store, str(tree))
+    index.rebuild_edges(store)
+    assert first.indexed == 34 and first.duration_ms > 0
+    before = store.manifest()["tables"]
+    hashed = []
+    real = index.parsed_files
+    monkeypatch.setattr(index, "parsed_files", lambda files, *a: hashed.append(files.count()) or real(files, *a))
+    path = str(tree / "docs/n3.txt")
+    (tree / "docs/n3.txt").write_text("Note number 3, changed.\n")
+    again = index.run_index(store, str(tree), only=path)
+    assert (again.scanned, again.indexed, hashed) == (1, 1, [1])
+    after = store.manifest()["tables"]
+    for name in ("documents", "document_chunks", "document_sections"):
+        assert sum(after[name].get(b) != before[name].get(b) for b in {*after[name], *before[name]}) == 1, name
+    assert store.table("documents").count() == 34 and store.table("document_chunks").where(F.col("content").contains("changed")).count() == 1
+    owner = store.table("documents").select(store.bucket_of(F.col("doc_id")).alias("b")).distinct().count()
+    assert owner == len(after["documents"])
+    for r in store.table("document_chunks").select("id", "document_id").collect():
+        assert r.id % 16 == r.document_id % 16
+    os.remove(path)
+    assert index.run_index(store, str(tree), only=path).deleted == 1 and store.table("documents").count() == 33
+    assert index.run_index(store, str(tree), only=path).indexed == 0
+
+
+def test_stored_postings_equal_the_scan(spark, tree, tmp_path):
+    store = index.Store(spark, str(tmp_path / "posted"), buckets=4)
+    texts = {"a.txt": "the dying plant and the lie", "b.txt": "he was lying about the plants", "c.txt": "planting, tied and tying", "d.txt": "plant plant plant", "e.txt": "nothing of it"}
+    for name, text in texts.items():
+        (tree / name).write_text(text)
+    index.run_index(store, str(tree))
+    (tree / "d.txt").write_text("now it lies elsewhere")
+    (tree / "e.txt").unlink()
+    index.run_index(store, str(tree))
+    assert len(store.manifest()["postings"]) == 2
+    chunks, documents = store.table("document_chunks"), store.table("documents")
+    for merged in (False, True):
+        if merged:
+            store.merge_postings(most=1)
+            assert len(store.manifest()["postings"]) == 1
+        for text in ("dying", "lie", "plant", "tie", "lie plant", '"dying plant"', "plant -lying", "plants or tying", "elsewhere", "login index"):
+            q = search.SearchQuery(text)
+            rows = [[(r.chunk_id, round(r.fts_rank, 9)) for r in search.text_top(chunks, documents, q, postings=p).collect()] for p in (None, store.postings())]
+            assert rows[0] == rows[1] and rows[0], text
+    plan = search.posting_scores(store.postings(), search.parse_web_query("lie"))._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "term" in plan.split("PushedFilters: [")[1].split("]")[0]
+    with pytest.raises(ValueError):
+        index.Store(spark, str(tmp_path / "x"), buckets=3)
+
+
 def test_graph_and_reads(engine, tree):
     engine.index(str(tree))
     n = engine.build_relationships()
@@ -177,6 +230,24 @@ def test_tool_server(engine, tree, monkeypatch):
     assert out.getvalue().startswith(b'{"jsonrpc": "2.0", "id": 5, "result": {}}\nContent-Length: ')
 
 
+def test_changes_wait_until_the_directory_is_quiet(tree, tmp_path):
+    from folioscope.streaming.watch import _Reader
+
+    reader = _Reader({"path": str(tree), "statedir": str(tmp_path / "state"), "quietms": "400"})
+    start = reader.initialOffset()
+    assert list(reader.read(start)[0]) == []
+    for k in range(3):  # each change starts the wait anew
+        (tree / "notes.txt").write_text(f"version {k} " + "x" * k)
+        assert list(reader.read(start)[0]) == []
+        time.sleep(0.25)
+        assert list(reader.read(start)[0]) == []
+    time.sleep(0.3)
+    rows, end = reader.read(start)
+    assert [(os.path.basename(r[0]), r[1]) for r in rows] == [("notes.txt", "UPSERT")] and end == {"n": 1}
+    assert [r[:2] for r in reader.readBetweenOffsets(start, end)] == [(str(tree / "notes.txt"), "UPSERT")]
+    assert list(reader.read(end)[0]) == []
+
+
 def test_watch(spark, tree, tmp_path):
     from folioscope.streaming.watch import watch
 
