@@ -14,6 +14,27 @@ CUT = "\n... [truncated to fit token budget]\n"
 SPARE, WORTH = 100, 200
 
 
+def ranked(results: DataFrame) -> DataFrame:
+    """Search results with their rank, as candidates of :func:`excerpts`; a result list is short."""
+    best = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    return results.select("chunk_id", F.row_number().over(best).alias("rank"), "filename", "path", "section_title", "location", "score")
+
+
+def first_of_beginnings(rows: DataFrame, order: str, beginning: int = 80) -> DataFrame:
+    """Of the rows whose ``content`` begins alike the one that comes first in ``order``; an
+    aggregate, so a beginning that many share is reduced before the shuffle."""
+    held = rows.columns
+    first = rows.groupBy(F.substring("content", 1, beginning).alias("_p")).agg(F.min_by(F.struct(*held), order).alias("_r"))
+    return first.select(*(F.col(f"_r.{c}") for c in held))
+
+
+def first_edges(edges: DataFrame, end: str, each: int = 3) -> DataFrame:
+    """At most ``each`` edges of each document at that end (source or target), smallest ids
+    first, with their ``position``."""
+    n = F.row_number().over(Window.partitionBy(f"{end}_id").orderBy("id"))
+    return edges.where(F.col(f"{end}_type") == "Document").withColumn("position", n).where(F.col("position") <= each)
+
+
 def excerpts(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     """Candidates ``(chunk_id, rank, filename, path, section_title, location, score)`` with the
     header and text of their excerpt; of equal beginnings (80 characters) the best rank stays."""
@@ -24,8 +45,8 @@ def excerpts(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
         F.lit(" | Path: "), F.col("path"), F.lit(" | Score: "), F.format_number("score", 3), F.lit("\n```\n"),
     )
     text = X.trim_all(F.coalesce("content", F.lit("")))
-    first = F.row_number().over(Window.partitionBy(F.substring("content", 1, 80)).orderBy("rank"))
-    return rows.select("chunk_id", "rank", "filename", head.alias("header"), text.alias("text"), first.alias("_n")).where("_n = 1").drop("_n")
+    shown = first_of_beginnings(rows.select("chunk_id", "rank", "filename", "content", head.alias("header"), text.alias("text")), "rank")
+    return shown.drop("content")
 
 
 def pack(rows: DataFrame, max_chars: int, used: int = 0) -> DataFrame:
@@ -54,11 +75,12 @@ def relationship_lines(edges: DataFrame, documents: DataFrame, doc_ids: DataFram
     """Of the documents ``(doc_id, filename, rank)`` at most ``each`` outgoing and ``each``
     incoming edges (smallest ids first), as lines ``(rank, direction, position, line)``."""
     d = F.broadcast(doc_ids.select("doc_id", F.col("filename").alias("_f"), "rank"))
-    out = edges.where(F.col("source_type") == "Document").join(d, F.col("source_id") == F.col("doc_id")).select("rank", "_f", F.lit("outgoing").alias("direction"), "id", "relationship_type", F.concat_ws(" #", "target_type", F.col("target_id").cast("string")).alias("other"), "source_id")
-    loop = (F.col("source_type") == "Document") & (F.col("source_id") == F.col("target_id"))
-    into = edges.where((F.col("target_type") == "Document") & ~loop).join(d, F.col("target_id") == F.col("doc_id")).select("rank", "_f", F.lit("incoming").alias("direction"), "id", "relationship_type", F.concat_ws(" #", "source_type", F.col("source_id").cast("string")).alias("other"), F.col("target_id").alias("source_id"))
-    n = F.row_number().over(Window.partitionBy("direction", "source_id").orderBy("id"))
-    top = out.unionByName(into).withColumn("position", n).where(F.col("position") <= each)
+    loop = (F.col("source_type") == "Document") & (F.col("target_type") == "Document") & (F.col("source_id") == F.col("target_id"))
+    parts = []
+    for end, other, direction, rows in (("source", "target", "outgoing", edges), ("target", "source", "incoming", edges.where(~loop))):
+        own = rows.join(d, F.col(f"{end}_id") == F.col("doc_id"))
+        parts.append(first_edges(own, end, each).select("rank", "_f", F.lit(direction).alias("direction"), "position", "relationship_type", F.concat_ws(" #", f"{other}_type", F.col(f"{other}_id").cast("string")).alias("other")))
+    top = parts[0].unionByName(parts[1])
     arrow = F.concat(F.lit(" --("), F.col("relationship_type"), F.lit(")--> "))
     line = F.when(F.col("direction") == "outgoing", F.concat(F.lit("• ["), F.col("_f"), F.lit("]"), arrow, F.lit("["), F.col("other"), F.lit("]"))).otherwise(F.concat(F.lit("• ["), F.col("other"), F.lit("]"), arrow, F.lit("["), F.col("_f"), F.lit("]")))
     return top.select("rank", "direction", "position", line.alias("line"))

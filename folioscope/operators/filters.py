@@ -36,6 +36,39 @@ def overlaps_lines(first: int, last: int) -> Column:
     return (F.col("line_start") <= last) & (F.col("line_end") >= first)
 
 
+def embedded() -> Column:
+    """chunks with an embedding."""
+    return F.col("embedding").isNotNull()
+
+
+def on_page(page: int) -> Column:
+    return F.col("page_number") == page
+
+
+def on_slide(slide: int) -> Column:
+    return F.col("slide_number") == slide
+
+
+def on_sheet(name: str) -> Column:
+    """sheet names are compared in lower case."""
+    return F.lower("sheet_name") == name.lower()
+
+
+def named(column: str, text: str) -> Column:
+    """contents or titles that contain a text, case-sensitively."""
+    return F.contains(F.col(column), F.lit(text))
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """the rows whose ``column`` is among the one-column ``ids``."""
+    return rows.join(ids.toDF(column).distinct(), column, "left_semi")
+
+
+def references_to_symbols() -> Column:
+    """edges that refer to a symbol."""
+    return F.col("relationship_type").isin(*REFERENCE_TYPES) & (F.col("target_type") == "Symbol")
+
+
 def unembedded() -> Column:
     """Chunks that still need an embedding: none stored, content not blank."""
     return F.col("embedding").isNull() & ~X.is_blank(F.col("content"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.cluster import checked_broadcast, materialise, spread
 from folioscope.functions import text as X
-from folioscope.operators.filters import REFERENCE_TYPES, distinct_chunks, incident
-from folioscope.operators.read import resolve_document
+from folioscope.operators.filters import distinct_chunks, incident, references_to_symbols
 
 EDGE_COLUMNS = ["source_id", "source_type", "target_id", "target_type", "relationship_type", "confidence", "metadata"]
 MIN_NAME = 4
@@ -46,7 +46,7 @@ def _names_in(chunks: DataFrame, names: list[str]) -> DataFrame:
     """``(id, document_id, name)``: which of the names each content contains, case-sensitively."""
     held = chunks.sparkSession.sparkContext.broadcast(names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         matcher = ahocorasick.Automaton()
@@ -54,12 +54,15 @@ def _names_in(chunks: DataFrame, names: list[str]) -> DataFrame:
             matcher.add_word(name, k)
         matcher.make_automaton()
         for batch in batches:
-            out = []
-            for key, document, text in zip(batch["id"], batch["document_id"], batch["content"]):
-                out += [(key, document, held.value[k]) for k in {k for _, k in matcher.iter(text)}]
-            yield pd.DataFrame(out, columns=["id", "document_id", "name"])
+            rows, found = [], []
+            for row, text in enumerate(batch.column(2).to_pylist()):
+                hits = {k for _, k in matcher.iter(text)} if held.value else ()
+                rows += [row] * len(hits)
+                found += [held.value[k] for k in hits]
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.string())], names=["id", "document_id", "name"])
 
-    return chunks.mapInPandas(run, "id bigint, document_id bigint, name string")
+    return spread(chunks, "id").mapInArrow(run, "id bigint, document_id bigint, name string")
 
 
 def mentions(chunks: DataFrame, symbols: DataFrame, documents: DataFrame, max_symbols: int | None = None) -> DataFrame:
@@ -69,33 +72,32 @@ def mentions(chunks: DataFrame, symbols: DataFrame, documents: DataFrame, max_sy
 
     ``max_symbols`` keeps, for each chunk, only the so many symbols of other documents with the
     smallest ids; None keeps all.  Instead of comparing each chunk with each symbol, the distinct
-    names are compiled into one multi-pattern matcher per NAMES_PER_MATCHER names, and the hits are
-    joined with the symbols by name.
+    names are compiled into a multi-pattern matcher, at most NAMES_PER_MATCHER names at a time (more
+    names are matched in several passes over the contents), and the hits are joined with the symbols
+    by name.  Contents are read where they lie: only hits are shuffled, and those of chunks delivered
+    twice are told by id.
     """
     named = symbols.where(F.length("name") >= MIN_NAME).select(F.col("id").alias("symbol_id"), "name", F.col("document_id").alias("symbol_document"))
     if max_symbols is not None:
         # The n smallest ids outside one's own document lie among the n + own smallest overall;
         # only the few documents that define some of them need the longer list.
         own = named.groupBy("symbol_document").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.max("c"), F.lit(0)).alias("m")).first()["m"]
-        ranked = named.orderBy("symbol_id").limit(max_symbols + int(own)).toPandas()
-        ranked["rank"] = range(1, len(ranked) + 1)
-        ranked["before"] = ranked.groupby("symbol_document").cumcount() + 1
-        spark = symbols.sparkSession
-        named = spark.createDataFrame(ranked, "symbol_id bigint, name string, symbol_document bigint, rank int, before int")
-    rows = distinct_chunks(chunks.where(~X.is_blank(F.col("content"))).select("id", "document_id", "content"))
-    distinct = named.select("name").distinct()
-    total = distinct.count()
-    passes = max(1, -(-total // NAMES_PER_MATCHER))
+        first = named.orderBy("symbol_id").limit(max_symbols + int(own))
+        ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("symbol_id")))
+        named = materialise(ranked, "named")
+    rows = chunks.where(~X.is_blank(F.col("content"))).select(F.col("id").cast("bigint"), F.col("document_id").cast("bigint"), "content")
+    distinct = materialise(named.select("name").distinct(), "names")
+    passes = max(1, -(-distinct.count() // NAMES_PER_MATCHER))
     hits = None
     for k in range(passes):
-        part = [r[0] for r in distinct.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == k).collect()]
+        part = [r[0] for r in distinct.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == k).collect()]  # about NAMES_PER_MATCHER
         found = _names_in(rows, part)
         hits = found if hits is None else hits.unionByName(found)
-    pairs = hits.join(named, "name").where(F.col("document_id") != F.col("symbol_document"))
+    pairs = hits.distinct().join(named, "name").where(F.col("document_id") != F.col("symbol_document"))
     if max_symbols is not None:
         # Rank among the symbols of other documents: the overall rank less own symbols before it.
         before = named.select(F.col("symbol_document").alias("document_id"), F.col("rank").alias("r"))
-        less = pairs.join(F.broadcast(before), "document_id", "left").groupBy("id", "document_id", "symbol_id", "name", "rank").agg(F.count_if(F.col("r") < F.col("rank")).alias("own"))
+        less = pairs.join(checked_broadcast(before), "document_id", "left").groupBy("id", "document_id", "symbol_id", "name", "rank").agg(F.count_if(F.col("r") < F.col("rank")).alias("own"))
         pairs = less.where(F.col("rank") - F.col("own") <= max_symbols)
     docs = documents.select(F.col("doc_id").alias("document_id"), F.col("path").alias("_p"), (F.col("document_type") == "code").alias("_code"))
     kind = F.when(F.col("_code"), "REFERENCES").otherwise("MENTIONS")
@@ -150,7 +152,7 @@ def references(edges: DataFrame, symbols: DataFrame, chunks: DataFrame, document
     type: ``(edge_id, relationship_type, target_id, target, target_kind, source_id, source_type,
     source_path, confidence)``."""
     wanted = symbols.where(X.contains_ci(F.col("name"), name)).select(F.col("id").alias("target_id"), F.col("name").alias("target"), F.col("symbol_type").alias("target_kind"))
-    hit = edges.where((F.col("target_type") == "Symbol") & F.col("relationship_type").isin(*REFERENCE_TYPES)).select(F.col("id").alias("edge_id"), "relationship_type", "target_id", "source_id", "source_type", "confidence").join(wanted, "target_id")
+    hit = edges.where(references_to_symbols()).select(F.col("id").alias("edge_id"), "relationship_type", "target_id", "source_id", "source_type", "confidence").join(wanted, "target_id")
     of_chunk = distinct_chunks(chunks.select("id", "document_id")).select(F.col("id").alias("_c"), F.col("document_id").alias("_cd"))
     with_chunk = hit.join(of_chunk, (F.col("source_type") == "Chunk") & (F.col("source_id") == F.col("_c")), "left")
     doc = F.when(F.col("source_type") == "Chunk", F.col("_cd")).when(F.col("source_type") == "Document", F.col("source_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
-from folioscope.operators.filters import distinct_chunks, overlaps_lines
+from folioscope.operators.filters import distinct_chunks, embedded, on_page, on_sheet, on_slide, overlaps_lines
 
 SEPARATOR = "\n---\n\n"
 
@@ -52,11 +52,11 @@ def read_chunks(chunks: DataFrame, symbols: DataFrame, documents: DataFrame, req
         named = F.lower("section_title").contains(F.lower(title))
         return own.join(F.broadcast(one), inside | named, "left_semi")
     if request.page is not None:
-        return own.where(F.col("page_number") == request.page)
+        return own.where(on_page(request.page))
     if request.slide is not None:
-        return own.where(F.col("slide_number") == request.slide)
+        return own.where(on_slide(request.slide))
     if request.sheet:
-        return own.where(F.lower("sheet_name") == request.sheet.lower())
+        return own.where(on_sheet(request.sheet))
     if request.section:
         return own.where(X.contains_ci(F.col("section_title"), request.section))
     if request.line_start is not None:
@@ -64,9 +64,18 @@ def read_chunks(chunks: DataFrame, symbols: DataFrame, documents: DataFrame, req
     return own
 
 
+def token_sums(chunks: DataFrame, separator: str = SEPARATOR) -> DataFrame:
+    """``(document_id, token_count)``: the sum of the chunks' tokens or, where it is 0, the estimate
+    of their concatenation, from the lengths alone: no contents are gathered."""
+    length = F.sum(F.length("content")) + F.lit(len(separator)) * (F.count("content") - 1)
+    sums = chunks.groupBy("document_id").agg(F.sum("token_count").cast("bigint").alias("_t"), length.alias("_n"))
+    estimate = F.ceil(F.col("_n") / F.lit(float(X.TOKEN))).cast("bigint")
+    return sums.select("document_id", F.when(F.coalesce("_t", F.lit(0)) > 0, F.col("_t")).otherwise(estimate).alias("token_count"))
+
+
 def concatenated(chunks: DataFrame, separator: str = SEPARATOR) -> DataFrame:
-    """``(document_id, content, token_count)``: contents in chunk order and the sum of
-    their tokens, or the estimate of the whole where that sum is 0."""
+    """``(document_id, content, token_count)``: contents in chunk order and their
+    :func:`token_sums`.  A result row holds a whole document, as the operator's result demands."""
     parts = F.sort_array(F.collect_list(F.struct(F.col("chunk_index"), F.col("id"), F.col("content"))))
     joined = chunks.groupBy("document_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), separator).alias("content"), F.sum("token_count").cast("bigint").alias("_t"))
     total = F.when(F.coalesce("_t", F.lit(0)) > 0, F.col("_t")).otherwise(X.token_estimate(F.col("content")).cast("bigint"))
@@ -133,7 +142,22 @@ def find_symbols(symbols: DataFrame, documents: DataFrame, name: str, symbol_typ
     if symbol_type:
         hits = hits.where(F.col("symbol_type") == symbol_type)
     top = hits.orderBy(F.length("name"), "name", "id").limit(limit)
-    return F.broadcast(top.select("id", "document_id", "name", "symbol_type", "namespace", "line_start", "line_end", "signature")).join(documents.select(F.col("doc_id").alias("document_id"), "path", "filename"), "document_id", "left")
+    return with_paths(top.select("id", "document_id", "name", "symbol_type", "namespace", "line_start", "line_end", "signature"), documents)
+
+
+def with_paths(symbols: DataFrame, documents: DataFrame) -> DataFrame:
+    """Symbols with the path and file name of their document, null where it is missing."""
+    return symbols.join(documents.select(F.col("doc_id").alias("document_id"), "path", "filename"), "document_id", "left")
+
+
+def child_counts(documents: DataFrame, sections: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """J3 over all documents: ``(doc_id, n_sections, n_chunks, n_symbols)``.  Each child table is
+    counted before the join, partly before the shuffle, so no document's children are gathered."""
+    out = documents.select("doc_id")
+    for rows, name, key in ((sections, "n_sections", "id"), (chunks, "n_chunks", "id"), (symbols, "n_symbols", "id")):
+        n = rows.select("document_id", key).distinct().groupBy("document_id").agg(F.count(F.lit(1)).alias(name))
+        out = out.join(n, out.doc_id == n.document_id, "left").drop("document_id").withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
+    return out
 
 
 def list_documents(documents: DataFrame, document_type: str | None = None, extension: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -146,17 +170,32 @@ def list_documents(documents: DataFrame, document_type: str | None = None, exten
     return rows.select("doc_id", "path", "filename", "extension", "title", "document_type", "size", "indexed_at").orderBy("filename", "doc_id").offset(offset).limit(limit)
 
 
+def embedded_counts(chunks: DataFrame) -> DataFrame:
+    """A2: one row ``(embedded, chunks)``; chunks may be delivered twice, so they are reduced to id
+    and a flag before they are counted."""
+    held = chunks.select("id", embedded().alias("e")).groupBy("id").agg(F.max("e").alias("e"))
+    return held.agg(F.count_if("e").alias("embedded"), F.count(F.lit(1)).alias("chunks"))
+
+
+def last_times(documents: DataFrame) -> DataFrame:
+    """A3: one row ``(last_indexed, last_modified)``."""
+    return documents.agg(F.max("indexed_at").alias("last_indexed"), F.max("modified_at").alias("last_modified"))
+
+
+def breakdown(documents: DataFrame, column: str) -> DataFrame:
+    """``(column, n)``, the commonest value first."""
+    return documents.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last(column))
+
+
 def statistics(documents: DataFrame, sections: DataFrame, chunks: DataFrame, symbols: DataFrame, relationships: DataFrame) -> DataFrame:
     """R11 as rows ``(metric, value)``: counts of the tables, of embedded chunks, the last index
     time (seconds), and documents by type and by extension."""
     one = lambda name, c: F.struct(F.lit(name).alias("metric"), c.cast("bigint").alias("value"))
-    rows = lambda df, *pairs: df.agg(F.array(*(one(n, c) for n, c in pairs)).alias("a")).select(F.inline("a"))
-    count = F.count(F.lit(1))
-    # Chunks may be delivered twice: reduced to id and a flag before they are counted.
-    held = chunks.select("id", F.col("embedding").isNotNull().alias("e")).groupBy("id").agg(F.max("e").alias("e"))
-    out = rows(documents, ("documents", count), ("last_indexed", F.unix_timestamp(F.max("indexed_at"))))
-    out = out.unionByName(rows(sections, ("sections", count))).unionByName(rows(held, ("chunks", count), ("embedded_chunks", F.count_if("e"))))
-    out = out.unionByName(rows(symbols, ("symbols", count))).unionByName(rows(relationships, ("relationships", count)))
+    rows = lambda df, *pairs: df.select(F.inline(F.array(*(one(n, c) for n, c in pairs))))
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    out = rows(count(documents), ("documents", F.col("n"))).unionByName(rows(last_times(documents), ("last_indexed", F.unix_timestamp("last_indexed"))))
+    out = out.unionByName(rows(count(sections), ("sections", F.col("n")))).unionByName(rows(embedded_counts(chunks), ("chunks", F.col("chunks")), ("embedded_chunks", F.col("embedded"))))
+    out = out.unionByName(rows(count(symbols), ("symbols", F.col("n")))).unionByName(rows(count(relationships), ("relationships", F.col("n"))))
     for column, name in (("document_type", "type"), ("extension", "extension")):
-        out = out.unionByName(documents.groupBy(column).agg(count.alias("value")).select(F.concat(F.lit(f"{name}:"), F.coalesce(column, F.lit(""))).alias("metric"), F.col("value").cast("bigint").alias("value")))
+        out = out.unionByName(breakdown(documents, column).select(F.concat(F.lit(f"{name}:"), F.coalesce(column, F.lit(""))).alias("metric"), F.col("n").cast("bigint").alias("value")))
     return out

@@ -20,6 +20,11 @@ def plain_path(uri):
     return F.regexp_replace(uri, r"^file:/*(?=/)", "")
 
 
+def content_hash(content):
+    """SHA-256 of bytes, in hexadecimal."""
+    return F.sha2(content, 256)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
@@ -57,5 +62,5 @@ def scan(spark: SparkSession, root: str, indexing: IndexingConfig | None = None,
         kept = kept.where(~F.arrays_overlap(folders, F.array(*(F.lit(x) for x in ignore))))
     columns = [path.alias("path"), X.extension_of(path).alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at")]
     if content:
-        columns += [F.sha2("content", 256).alias("hash"), "content"]
+        columns += [content_hash(F.col("content")).alias("hash"), "content"]
     return kept.select(*columns)
