@@ -42,6 +42,7 @@ def _parser() -> argparse.ArgumentParser:
     command("build-relationships")
     command("watch", "root")
     command("serve")
+    command("rest", host=str, port=int)
     return p
 
 
@@ -82,7 +83,13 @@ def run(args: argparse.Namespace, engine: Engine) -> object:
         case "watch":
             from folioscope.streaming.watch import watch
 
-            watch(engine.store, args.root, args.index + "-watch", engine.config, embedder=engine.embedder, on_batch=lambda r: print(vars(r), flush=True)).awaitTermination()
+            watch(engine.store, args.root, args.index.rstrip("/") + "-watch", engine.config, embedder=engine.embedder, on_batch=lambda r: print(vars(r), flush=True)).awaitTermination()
+        case "rest":
+            from folioscope import rest
+
+            http = rest.server(engine, args.host or rest.HOST, rest.PORT if args.port is None else args.port)
+            print("http://{}:{}".format(*http.server_address[:2]), flush=True)
+            http.serve_forever()
         case "serve":
             from folioscope.tools import Server
 

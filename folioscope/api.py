@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.callgraph import CallGraphProgram
 from folioscope.config import EngineConfig
 from folioscope.embedding import provider
 from folioscope.functions import text as X
@@ -22,9 +23,9 @@ class Engine:
     limit or belong to one document.
     """
 
-    def __init__(self, spark: SparkSession, root: str, config: EngineConfig | None = None, edges_of: Callable[[str], DataFrame] | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, config: EngineConfig | None = None, call_graph: CallGraphProgram | None = None) -> None:
         self.spark, self.config, self.store = spark, config or EngineConfig(), index.Store(spark, root)
-        self.metrics, self.edges_of = Metrics(), edges_of
+        self.metrics, self.call_graph = Metrics(), call_graph
         self.embedder = provider(self.config.embedding)
 
     # tables
@@ -133,11 +134,17 @@ class Engine:
         return {r["metric"]: r["value"] for r in rows} | {"metrics": self.metrics.snapshot()}
 
     # graph
+    def _outside(self, kind: str) -> Callable[[str], DataFrame] | None:
+        """Edges of the outside call graph, where there is one."""
+        if self.call_graph is None or not self.call_graph.available():
+            return None
+        return lambda name: getattr(self.call_graph, kind)(self.spark, name)
+
     def related(self, name: str) -> list[dict]:
-        return [r.asDict() for r in graph.related(self.edges, self.symbols, self.documents, name, self.edges_of).orderBy("direction", "relationship_type", "neighbour_id").collect()]
+        return [r.asDict() for r in graph.related(self.edges, self.symbols, self.documents, name, self._outside("related")).orderBy("direction", "relationship_type", "neighbour_id").collect()]
 
     def references(self, name: str) -> list[dict]:
-        return [r.asDict() for r in graph.references(self.edges, self.symbols, self.chunks, self.documents, name, self.edges_of).orderBy("edge_id").collect()]
+        return [r.asDict() for r in graph.references(self.edges, self.symbols, self.chunks, self.documents, name, self._outside("references")).orderBy("edge_id").collect()]
 
     # context
     def context(self, query: str, max_tokens: int = 4000, mode: str = "hybrid", extension: str | None = None, include_relationships: bool = True) -> dict:
@@ -146,6 +153,7 @@ class Engine:
         found = top.select("chunk_id", "filename", "path", "section_title", "location", "score", "document_id").collect()
         if not found:
             return {"text": f"No relevant context found for '{query}'.", "chunks": 0, "tokens": 0}
+        # The headings of the package, which callers look for.
         ranked = self.spark.createDataFrame([(k, *r) for k, r in enumerate(found, 1)], "rank int, chunk_id bigint, filename string, path string, section_title string, location string, score double, document_id bigint")
         head = f"# Context Package: {query}\nMode: {mode} | Search Matches: {len(found)}\n---\n"
         if include_relationships:

@@ -86,7 +86,8 @@ def paragraph_chunker(parsed: dict, most: int = MAX_TOKENS) -> list[dict]:
 def code_chunker(parsed: dict, most: int = MAX_TOKENS) -> list[dict]:
     """K4: symbols that fit, or have no parts, whole; of the others a header and their parts.
 
-    Text outside symbols isn't kept.  Without symbols: one trimmed chunk a section.
+    Text outside symbols isn't kept.  Without symbols: one trimmed chunk a section.  Titles, metadata
+    keys and the five lines of a header are fixed values, part of the result.
     """
     symbols = parsed["symbols"]
     if not symbols:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 
+# The limits, and the layout of an excerpt, which callers look for.
 CANDIDATES = 20
 MAX_TOKENS = 16_000
 FOOTER = "\n```\n"
