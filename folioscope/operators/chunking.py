@@ -146,6 +146,20 @@ def greedy_chunks(documents: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, chunk_index int, content string, token_count int")
 
 
-def chunk_places(chunks: DataFrame) -> DataFrame:
-    """The 1-based place of each chunk in its document, by index, then id."""
-    return chunks.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index", "id")))
+#: Chunk indexes of a block in which places are counted.
+PLACE_BLOCK = 4096
+
+
+def chunk_places(chunks: DataFrame, block: int = PLACE_BLOCK) -> DataFrame:
+    """The 1-based place of each chunk in its document, by index, then id.
+
+    Counted within blocks of indexes, to which the sizes of earlier blocks are added, so that no task
+    orders all chunks of a large document.
+    """
+    rows = chunks.withColumn("_b", F.floor(F.coalesce("chunk_index", F.lit(-1)) / F.lit(block)))
+    sizes = rows.groupBy("document_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("document_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("document_id").alias("_d"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("document_id", "_b").orderBy("chunk_index", "id"))
+    placed = rows.withColumn("_own", own).join(starts, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("_b") == F.col("_c")))
+    return placed.withColumn("place", (F.col("_start") + F.col("_own")).cast("int")).select(*chunks.columns, "place")

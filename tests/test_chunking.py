@@ -53,3 +53,15 @@ def test_fox_sections():
     assert len(out) > 1 and all(n <= 60 for _, n in out)
     p = parse("/x/a.md", b"# A\n\ntext\n")
     assert [c["content"] for c in chunking.chunk_parsed(p)] == ["text"]
+
+
+def test_places_do_not_depend_on_blocks(spark):
+    rows = [(i, d, (i * 7) % 40 if i % 9 else None) for i, d in enumerate([1] * 30 + [2] * 5 + [None] * 4)]
+    df = spark.createDataFrame(rows, "id bigint, document_id bigint, chunk_index int")
+    want = {}
+    for d in (1, 2, None):
+        own = sorted((r for r in rows if r[1] == d), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        want.update({r[0]: k for k, r in enumerate(own, 1)})
+    for block in (4096, 8, 1):
+        assert {r.id: r.place for r in chunking.chunk_places(df, block).collect()} == want
+    assert chunking.chunk_places(df.limit(0)).count() == 0
