@@ -28,8 +28,10 @@ MINIFIED_LINE = 200
 UNIFORM_SHARE = 0.985
 UNIFORM_SKELETONS = 3
 UNIFORM_LINES = 6
-#: Share of a file's characters in literals from which it counts as data.
+#: Share of a file's characters in literals from which it counts as data, and the fewest characters
+#: for which the share means something.
 LITERAL_SHARE = 0.72
+DATA_CHARACTERS = 400
 
 LEX = re.compile(
     r"""(?P<comment>/\*.*?(?:\*/|\Z)|@\*.*?(?:\*@|\Z)|<!--.*?(?:-->|\Z)|//[^\n]*|--[^\n]*)
@@ -130,7 +132,7 @@ def reason(path: str | None, text: str | None, packages: re.Pattern | None) -> s
     x = Layout(text)
     if packages and any(packages.search(part) and BANNER.search(part) for part in x.banner.split("\n\n")):
         return "vendored"
-    if x.literal_share >= LITERAL_SHARE and x.characters >= 400:
+    if x.literal_share >= LITERAL_SHARE and x.characters >= DATA_CHARACTERS:
         return "data"
     if x.longest >= MINIFIED_LINE and x.expansion >= EXPANSION and x.characters / max(x.code_lines, 1) >= MINIFIED_LINE:
         return "minified"
@@ -146,7 +148,8 @@ def unwritten_files(documents: DataFrame, packages: DataFrame, max_packages: int
     """``(doc_id, reason)`` of the documents of type code that nobody wrote by hand.
 
     ``packages`` is a fixed list of outside packages; it is read to the driver and refused beyond
-    ``max_packages`` names.  Null and empty texts are judged by their path alone; null paths by
+    ``max_packages`` names.  Files below ``DATA_CHARACTERS`` are no data and below ``UNIFORM_LINES`` no
+    output by uniformity alone: that little text proves neither.  Null and empty texts are judged by their path alone; null paths by
     their text alone.  Repeated rows give one row.  Each file is lexed whole.  No shuffle of texts.
     """
     names = [r[0] for r in packages.select("package_name").where(F.col("package_name").isNotNull()).distinct().limit(max_packages + 1).collect()]

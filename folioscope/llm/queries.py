@@ -116,6 +116,14 @@ n AS (
 """
 
 
+_P4 = r"""WITH w AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT id, content FROM document_chunks WHERE content IS NOT NULL)),
+        s AS (SELECT DISTINCT id, md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+        j AS (SELECT id_a, id_b, both_ / (x.n + y.n - both_) AS j FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE both_ >= 0.6 * (x.n + y.n - both_))
+        """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": """
@@ -125,12 +133,16 @@ def oracle_sql() -> dict[str, str]:
         s AS (SELECT a.id AS x, b.id AS y, array_cosine_similarity(a.v, b.v) AS c FROM e a, e b WHERE a.id <> b.id),
         t AS (SELECT x, y, c FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(c, 12) DESC, y) AS n FROM s) WHERE n <= 10 AND c >= 0.9)
         SELECT a.x AS id_a, a.y AS id_b FROM t a JOIN t b ON a.x = b.y AND a.y = b.x WHERE a.x < a.y""",
-        "p4_found": r"""
-        WITH w AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT id, content FROM document_chunks WHERE content IS NOT NULL)),
-        s AS (SELECT DISTINCT id, md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
-        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
-        p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
-        SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE both_ >= 0.6 * (x.n + y.n - both_)""",
+        "p4_found": _P4 + "SELECT id_a, id_b FROM j",
+        "p4_groups": "WITH RECURSIVE" + _P4.removeprefix("WITH") + """
+        , b AS (SELECT id_a AS x, id_b AS y, j FROM j UNION ALL SELECT id_b, id_a, j FROM j),
+        m AS (SELECT n.id, least(n.id, coalesce(min(b.y), n.id)) AS rep FROM n LEFT JOIN b ON b.x = n.id AND b.j = 1 GROUP BY n.id),
+        e AS (SELECT DISTINCT p.rep AS x, q.rep AS y FROM b JOIN m p ON p.id = b.x JOIN m q ON q.id = b.y WHERE p.rep <> q.rep),
+        r(v, l) AS (SELECT x, x FROM e UNION SELECT e.y, r.l FROM r JOIN e ON e.x = r.v),
+        l AS (SELECT v, min(l) AS l FROM r GROUP BY v),
+        c AS (SELECT rep, count(*) AS n FROM m GROUP BY rep),
+        d AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+        SELECT m.id AS chunk_id, coalesce(l.l, m.rep) AS group_id, coalesce(d.n, 0) AS n_links FROM m JOIN c ON c.rep = m.rep LEFT JOIN l ON l.v = m.rep LEFT JOIN d ON d.x = m.rep WHERE c.n > 1 OR l.l IS NOT NULL""",
         # By a threshold set by hand between prose and the rest, not by the learned rules.
         "p8_found": _P8
         + """

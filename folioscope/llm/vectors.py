@@ -48,6 +48,7 @@ LOSS, LEAST_TREES = 0.01, 8
 #: Rows of a leaf and of a distributed cell of the plan with a least similarity.
 LEAF_ROWS = 8192
 CELL_ROWS = 32_768
+CELLS_A_TASK = 2
 #: The top of each tree is fitted on at most so many projected rows.
 SAMPLE_ROWS = 100_000
 #: Queries and other rows of one block of the plan with a query set, at most; blocks of fewer rows
@@ -477,7 +478,9 @@ def similar_neighbours(rows: DataFrame, least: float, k: int = K, id_col: str =
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     sent = reps.mapInArrow(send, "tree int, cell int, id bigint, unit binary")
-    pairs = materialise(sent.groupBy("tree", "cell").applyInPandas(search, "a bigint, b bigint").distinct(), "pairs")
+    # A few cells a task, however many rows there are; the grouping keeps this partitioning.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-trees * cells // CELLS_A_TASK))
+    pairs = materialise(sent.repartition(tasks, "tree", "cell").groupBy("tree", "cell").applyInPandas(search, "a bigint, b bigint").distinct(), "pairs")
     exact = _verified(pairs, reps, dimension).where(F.col("cosine") >= least)
     both = exact.select(F.col("a").alias("rep"), F.col("b").alias("near"), "cosine").unionByName(exact.select(F.col("b").alias("rep"), F.col("a").alias("near"), "cosine"))
     # Only members that share their class or have a near class can have a neighbour.
