@@ -32,6 +32,7 @@ def _parser() -> argparse.ArgumentParser:
     command("search", "query", mode=str, limit=int, type=str, ext=str, path=str)
     command("semantic-search", "query", limit=int)
     command("embed")
+    command("build-vector-index", lists=int)
     command("find", "name", type=str, limit=int)
     command("list", type=str, ext=str, limit=int, offset=int)
     command("read", "document", page=int, slide=int, sheet=str, section=str, symbol=str, line_start=int, line_end=int)
@@ -64,6 +65,8 @@ def run(args: argparse.Namespace, engine: Engine) -> object:
             return engine.results(q, "semantic" if args.command == "semantic-search" else args.mode or "hybrid")
         case "embed":
             return engine.embed()
+        case "build-vector-index":
+            return engine.build_vector_index(**given(lists=args.lists))
         case "find":
             return engine.find(args.name, args.type, args.limit or 20)
         case "list":

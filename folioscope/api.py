@@ -13,7 +13,7 @@ from folioscope.config import EngineConfig
 from folioscope.embedding import provider
 from folioscope.functions import text as X
 from folioscope.metrics import Metrics
-from folioscope.operators import context, graph, index, read, search
+from folioscope.operators import context, graph, index, read, search, vector_index
 
 
 class Engine:
@@ -69,6 +69,14 @@ class Engine:
             raise RuntimeError("no embedding provider is configured")
         return index.backfill_embeddings(self.store, self.embedder, self.config.embedding.batch_size)
 
+    def build_vector_index(self, **options) -> int:
+        """Inverted lists for semantic search; the number of lists that a search reads."""
+        return self.store.build_vectors(self.config.embedding.dimension, **options)
+
+    def _near(self, vector: list[float] | None) -> DataFrame | None:
+        held = self.store.vectors() if vector else None
+        return None if held is None or held[1].centroids.shape[1] != len(vector) else vector_index.candidates(*held, vector)
+
     def build_relationships(self, **options) -> int:
         return index.rebuild_edges(self.store, **options)
 
@@ -86,9 +94,9 @@ class Engine:
             if self.embedder is None:
                 raise RuntimeError("semantic search needs an embedding provider")
             vector = self._vector(q.text) or [0.0] * self.config.embedding.dimension
-            return search.semantic_search(self.chunks, self.documents, q, vector, preview)
-        s = self.config.search
-        return search.hybrid_search(self.chunks, self.documents, q, self._vector(q.text), weights=(s.fts_weight, s.semantic_weight), k=s.rrf_k, postings=self.store.postings(), preview=preview)
+            return search.semantic_search(self.chunks, self.documents, q, vector, preview, self._near(vector))
+        s, vector = self.config.search, self._vector(q.text)
+        return search.hybrid_search(self.chunks, self.documents, q, vector, near=self._near(vector), weights=(s.fts_weight, s.semantic_weight), k=s.rrf_k, postings=self.store.postings(), preview=preview)
 
     def results(self, query: search.SearchQuery | str, mode: str = "hybrid") -> list[dict]:
         started = time.perf_counter()

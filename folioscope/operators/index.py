@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from folioscope import schemas
 from folioscope.cluster import materialise, spread
 from folioscope.config import EngineConfig
 from folioscope.functions import text as X
-from folioscope.operators import chunking, graph, search
+from folioscope.operators import chunking, graph, search, vector_index
 from folioscope.operators.filters import distinct_chunks, unembedded
 from folioscope.sources import scan as source
 
@@ -132,9 +133,10 @@ class Store:
         rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
         return {n.removeprefix("bucket="): f"{folder}/{n}" for n in self._names(f"{self.root}/data/{folder}") if n.startswith("bucket=")}
 
-    def write(self, changed: dict[str, DataFrame], touched: dict[str, list[int]] | None = None, fresh_postings: DataFrame | None = None, keep: int = 2) -> int:
+    def write(self, changed: dict[str, DataFrame], touched: dict[str, list[int]] | None = None, fresh_postings: DataFrame | None = None, fresh_vectors: tuple[DataFrame, DataFrame] | None = None, keep: int = 2) -> int:
         """A new generation.  ``changed``: all rows of the tables' ``touched`` buckets (of all buckets
-        where a table isn't in ``touched``); other buckets stay as they are.  The last ``keep``
+        where a table isn't in ``touched``); other buckets stay as they are.  ``fresh_vectors``: chunks and
+        documents that go to the inverted lists, if there are any.  The last ``keep``
         generations stay for running readers."""
         self.create()
         old = self.generation()
@@ -147,6 +149,13 @@ class Store:
         if fresh_postings is not None:
             if self._written(fresh_postings.sortWithinPartitions("term", "chunk_id"), "postings", new):
                 manifest["postings"].append(next(n for n in self._names(f"{self.root}/data") if n.startswith(f"postings-{new}-")))
+        if fresh_vectors is not None and manifest.get("vectors"):
+            held = manifest["vectors"]
+            folder = f"vectors-{new}-{uuid.uuid4().hex[:8]}"
+            rows = vector_index.assigned(self._vector_rows(*fresh_vectors), vector_index.Lists(np.array(held["centroids"]), held["probes"]))
+            rows.coalesce(1).write.partitionBy("list").parquet(f"{self.root}/data/{folder}")
+            if any(n.startswith("list=") for n in self._names(f"{self.root}/data/{folder}")):
+                held["segments"].append(folder)
         self._commit(manifest, new)
         self._clear(new, keep)
         return new
@@ -160,7 +169,7 @@ class Store:
         for at in range(max(1, new - keep + 1), new + 1):
             if self._fs.exists(self._path(f"{self.root}/manifest-{at}.json")):
                 m = self.manifest(at)
-                used |= {f for t in m["tables"].values() for f in t.values()} | set(m["postings"])
+                used |= {f for t in m["tables"].values() for f in t.values()} | set(m["postings"]) | set((m.get("vectors") or {}).get("segments", []))
         for folder in self._names(f"{self.root}/data"):
             if folder in used:
                 continue
@@ -185,6 +194,31 @@ class Store:
         self._commit(manifest, new)
         self._clear(new, 2)
 
+    def vectors(self) -> tuple[DataFrame, vector_index.Lists] | None:
+        """Inverted lists of the embeddings, if they were built: rows in segments, and centroids."""
+        held = self.manifest().get("vectors")
+        if not held:
+            return None
+        segments = [self.spark.read.schema(vector_index.ROWS).parquet(f"{self.root}/data/{x}") for x in held["segments"]]
+        return reduce(DataFrame.unionByName, segments), vector_index.Lists(np.array(held["centroids"]), held["probes"])
+
+    def _vector_rows(self, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+        versions = documents.select(F.col("doc_id").alias("document_id"), search.version_of(F.col("hash")).alias("version"))
+        return chunks.select(F.col("id").alias("chunk_id"), "document_id", "embedding").join(versions, "document_id")
+
+    def build_vectors(self, dimension: int, lists: int = vector_index.LISTS) -> int:
+        """(Re)build the inverted lists over all embeddings of a dimension; the lists a search reads."""
+        self.create()
+        rows = self._vector_rows(self.table("document_chunks"), self.table("documents"))
+        found = vector_index.fit(rows, dimension, lists)
+        manifest, new = self.manifest(), self.generation() + 1
+        folder = f"vectors-{new}-{uuid.uuid4().hex[:8]}"
+        vector_index.assigned(rows, found).hint("rebalance", "list").write.partitionBy("list").parquet(f"{self.root}/data/{folder}")
+        manifest["vectors"] = {"segments": [folder], "centroids": found.centroids.tolist(), "probes": found.probes}
+        self._commit(manifest, new)
+        self._clear(new, 2)
+        return found.probes
+
     def by_path(self, path: str) -> DataFrame:
         return self.table("documents").where(F.col("path") == path)
 
@@ -314,8 +348,10 @@ def run_index(store: Store, root: str, config: EngineConfig | None = None, prune
         done = parsed.where("parsed.error is null").select("path").unionByName(status.where("status = 'deleted'").select("path"))
         rest, touched = _without(store, stored.join(done, "path", "left_semi"), store.touched(fresh["documents"].select("doc_id")))
         rows = {name: rest[name].unionByName(fresh[name]) if name in fresh else rest[name] for name in rest}
-        store.write(rows, touched, fresh_postings(fresh) if result.indexed else None)
+        store.write(rows, touched, fresh_postings(fresh) if result.indexed else None, (fresh["document_chunks"], fresh["documents"]) if result.indexed else None)
         store.merge_postings()
+        if len((store.manifest().get("vectors") or {}).get("segments", [])) > MOST_SEGMENTS:
+            store.build_vectors(config.embedding.dimension)
     result.duration_ms = round(1000 * (time.perf_counter() - began))
     return result
 
@@ -370,7 +406,9 @@ def backfill_embeddings(store: Store, embedder: Embedder, batch: int = 32) -> in
     found = todo.groupBy(store.bucket_of(F.col("document_id")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
     if found:
         buckets = [r["b"] for r in found]
-        store.write({"document_chunks": embed_missing(store.table("document_chunks", buckets), embedder, batch)}, {"document_chunks": buckets})
+        missing = materialise(store.table("document_chunks", buckets).where(unembedded()).select("id"), "missing")
+        new = materialise(embed_missing(store.table("document_chunks", buckets), embedder, batch), "embedded")
+        store.write({"document_chunks": new}, {"document_chunks": buckets}, fresh_vectors=(new.join(missing, "id", "left_semi"), store.table("documents", buckets)))
     return sum(r["n"] for r in found)
 
 

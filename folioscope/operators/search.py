@@ -197,10 +197,15 @@ def text_search(chunks: DataFrame, documents: DataFrame, query: SearchQuery, ana
 COPIES = 2
 
 
-def semantic_top(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float], limit: int | None = None) -> DataFrame:
+def semantic_top(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float], limit: int | None = None, near: DataFrame | None = None) -> DataFrame:
     """The best chunks by cosine with ``vector``; chunks whose embedding is null, of another
-    length, zero or not finite are no candidates."""
-    rows = chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") == len(vector))).select(F.col("id").alias("chunk_id"), "document_id", X.cosine_to(F.col("embedding"), vector).alias("similarity"))
+    length, zero or not finite are no candidates.
+
+    ``near``: rows of inverted lists (``vector_index.candidates``) instead of all chunks; those of
+    another version than the document's are stale and left out.  The search is then approximate.
+    """
+    held = chunks.withColumnRenamed("id", "chunk_id") if near is None else near.join(documents.select(F.col("doc_id").alias("document_id"), version_of(F.col("hash")).alias("version")), ["document_id", "version"], "left_semi")
+    rows = held.where(F.col("embedding").isNotNull() & (F.size("embedding") == len(vector))).select("chunk_id", "document_id", X.cosine_to(F.col("embedding"), vector).alias("similarity"))
     scored = rows.where(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
     joined = scored.join(_documents(documents, query), "document_id").select("chunk_id", "document_id", "path", "filename", "document_type", "similarity")
     # Copies of a row sort next to each other, so the best of all, with room for a copy of each,
@@ -209,9 +214,9 @@ def semantic_top(chunks: DataFrame, documents: DataFrame, query: SearchQuery, ve
     return joined.orderBy(*best).limit(n * COPIES).dropDuplicates(["chunk_id"]).orderBy(*best).limit(n)
 
 
-def semantic_search(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float], preview: int = X.PREVIEW) -> DataFrame:
+def semantic_search(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float], preview: int = X.PREVIEW, near: DataFrame | None = None) -> DataFrame:
     """R2: score is the cosine clamped to [0, 1]; the component keeps the raw value."""
-    top = semantic_top(chunks, documents, query, vector).withColumn("score", X.clamp01(F.col("similarity")))
+    top = semantic_top(chunks, documents, query, vector, near=near).withColumn("score", X.clamp01(F.col("similarity")))
     if not (query.text or "").strip():
         top = _no_rows(top)
     return _dress(top, chunks, documents, None, preview).select(*RESULT_COLUMNS, F.create_map(F.lit("semantic_score"), F.col("similarity")).alias("score_components")).orderBy(F.desc(F.round("score", 9)), "chunk_id")
@@ -245,13 +250,13 @@ def fused_order() -> list:
     return [F.desc(F.round("score", 9)), F.asc_nulls_last("text_pos"), F.asc_nulls_last("semantic_pos"), F.asc("chunk_id")]
 
 
-def hybrid_top(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float], analyzer: str = "english", weights: tuple[float, float] = (0.4, 0.6), k: int = 60, postings: DataFrame | None = None) -> DataFrame:
+def hybrid_top(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float], analyzer: str = "english", weights: tuple[float, float] = (0.4, 0.6), k: int = 60, postings: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     pool = max(3 * query.top, 30)
-    fused = fuse(text_top(chunks, documents, query, analyzer, pool, postings), semantic_top(chunks, documents, query, vector, pool), weights, k)
+    fused = fuse(text_top(chunks, documents, query, analyzer, pool, postings), semantic_top(chunks, documents, query, vector, pool, near), weights, k)
     return fused.orderBy(*fused_order()).limit(query.top)
 
 
-def hybrid_search(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float] | None, analyzer: str = "english", weights: tuple[float, float] = (0.4, 0.6), k: int = 60, postings: DataFrame | None = None, preview: int = X.PREVIEW) -> DataFrame:
+def hybrid_search(chunks: DataFrame, documents: DataFrame, query: SearchQuery, vector: list[float] | None, analyzer: str = "english", weights: tuple[float, float] = (0.4, 0.6), k: int = 60, postings: DataFrame | None = None, preview: int = X.PREVIEW, near: DataFrame | None = None) -> DataFrame:
     """Text and semantic search fused; without a vector (no provider) it is R1.
 
     The score is a hundred times the fused sum.  A chunk found by text shows the text preview.
@@ -259,7 +264,7 @@ def hybrid_search(chunks: DataFrame, documents: DataFrame, query: SearchQuery, v
     if vector is None or not (query.text or "").strip():
         return text_search(chunks, documents, query, analyzer, postings, preview)
     parsed = parse_web_query(query.text, analyzer)
-    fused = hybrid_top(chunks, documents, query, vector, analyzer, weights, k, postings)
+    fused = hybrid_top(chunks, documents, query, vector, analyzer, weights, k, postings, near)
     named = F.broadcast(fused).join(documents.select(F.col("doc_id").alias("document_id"), "path", "filename", "document_type"), "document_id")
     dressed = _dress(named, chunks, documents, None, preview)
     if parsed.groups:

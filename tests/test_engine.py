@@ -159,6 +159,40 @@ def test_search_modes(engine, tree):
     assert "## Relevant Excerpts" in pack["text"] and pack["chunks"] >= 1 and pack["tokens"] <= 400
 
 
+def test_inverted_lists(spark, engine, tree):
+    import numpy as np
+
+    from folioscope.operators import vector_index as V
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 24))
+    x[1500:] = x[rng.integers(0, 1500, 1500)] + rng.standard_normal((1500, 24)) * 0.2
+    bad = [(90_000, 1, 5, None), (90_001, 1, 5, [0.0] * 24), (90_002, 1, 5, [1.0] * 3), (90_003, 1, 5, [float("nan")] * 24)]
+    rows = spark.createDataFrame([(i, 1, 5, [float(v) for v in r]) for i, r in enumerate(x)] + bad, "chunk_id bigint, document_id bigint, version bigint, embedding array<float>")
+    lists = V.fit(rows, 24, lists=40)
+    held = V.assigned(rows, lists).cache()
+    assert held.count() == held.select("chunk_id").distinct().count() == 3000 and lists.probes <= len(lists.centroids) == 40
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = total = read = 0
+    for q in rng.choice(3000, 20, replace=False):
+        near = {r.chunk_id for r in V.candidates(held, lists, x[q].tolist()).select("chunk_id").collect()}
+        top = np.argsort(-(u @ u[q]), kind="stable")[1:11]
+        found, total, read = found + sum(int(k) in near for k in top), total + 10, read + len(near)
+    assert found >= 0.9 * total and read < 20 * 3000 * 0.9
+    assert V.fit(rows.limit(0), 24).probes == 1 and V.assigned(rows.limit(0), lists).count() == 0
+    # In the engine: rows added later and changed later are found, stale ones are not.
+    engine.index(str(tree))
+    want = [r["path"] for r in engine.results("plain notes about the login index", "semantic")]
+    assert engine.build_vector_index(lists=2) >= 1 and engine.store.vectors()[0].count() == engine.chunks.count()
+    assert [r["path"] for r in engine.results("plain notes about the login index", "semantic")][0] == want[0]
+    (tree / "late.txt").write_text("zebra crossing")
+    (tree / "notes.txt").write_text("something else")
+    engine.index(str(tree))
+    assert len(engine.store.manifest()["vectors"]["segments"]) == 2
+    assert engine.results("zebra crossing", "semantic")[0]["filename"] == "late.txt"
+    assert all("Plain" not in r["preview"] for r in engine.results("plain notes about the login index", "semantic"))
+
+
 def test_fusion_order(spark):
     t = spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.4), (3, 1, 0.4)], "chunk_id bigint, document_id bigint, fts_rank double")
     s = spark.createDataFrame([(1, 1, 0.9), (4, 1, 0.8), (2, 1, -0.2)], "chunk_id bigint, document_id bigint, similarity double")
