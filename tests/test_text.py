@@ -1,9 +1,11 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from folioscope.config import EngineConfig, SecurityConfig, load_config
 from folioscope.functions import text as X
-from folioscope.functions.analyze import parse_web_query, positions, stem, terms
-from folioscope.functions.rank import cover_density, headline, matches
+from folioscope.functions.analyze import parse_web_query, positions, stem, terms, word_parts
+from folioscope.functions.rank import _minimal, cover_density, headline, matches
 from folioscope.metrics import Metrics
 from folioscope.operators.filters import PathRefused, check_path
 from pyspark.sql import functions as F
@@ -14,6 +16,22 @@ def test_stemmer(word, root):
     assert stem(word) == root
 
 
+_ENDINGS = ["", "s", "es", "ed", "ing", "y", "ies", "ied", "ly", "ness", "ful", "ization", "ational", "ation", "ator", "alism", "aliti", "iveness", "iviti", "ivity", "bility", "ability", "bli", "ogy", "ogi", "alize", "icate", "ical", "iciti", "ement", "ance", "ion", "ll", "eed", "eedly", "ingly", "edly", "ency", "ancy", "fulness", "ousness", "lessly", "izer"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text("abcdefgilmnoprstuvyz", min_size=1, max_size=7), st.sampled_from(_ENDINGS), st.sampled_from(_ENDINGS))
+def test_each_word_holds_a_part_of_its_stem(head, one, two):
+    for word in (head + one, head + one + two, "dying", "lying", "tying", "skies", "idly", "early"):
+        assert any(part in word for part in word_parts(stem(word))), word
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.tuples(st.integers(0, 12), st.integers(0, 12)).map(lambda c: (min(c), max(c))), max_size=20))
+def test_minimal_covers(covers):
+    assert sorted(_minimal(covers)) == sorted(c for c in covers if not any(d != c and c[0] <= d[0] and d[1] <= c[1] for d in covers))
+
+
 def test_stop_words_take_positions():
     assert terms("The cat and the hat") == [("cat", 2), ("hat", 5)]
     assert positions("a a b a", "simple") == {"a": [1, 2, 4], "b": [3]}
