@@ -46,7 +46,7 @@ HASHES = 128
 SKETCH_DISTANCE = 40
 #: t of the covering (see above).
 HALF_DISTANCE = 1
-#: Records of one anchor that one comparison block holds.
+#: Records of one anchor that one comparison block holds, and of one coarse key that a task meets.
 BLOCK = 2048
 
 #: Code points of text whose shingles are hashed together.
@@ -289,23 +289,68 @@ def _meet(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select(names).repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(run, "rep_a bigint, rep_b bigint").where("rep_a < rep_b")
 
 
+def _local_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """``(rep_a, rep_b)``: :func:`close_pairs` of ``(band, coarse, id, n_shingles, sketch, sketch2)``
+    rows whose coarse keys have at most BLOCK each.  All anchors of a key lie in one task, so the
+    replicas are made, met and dropped there, without a shuffle of their own."""
+    names = ["coarse", "band", "id", "n_shingles", "sketch", "sketch2"]
+
+    def met(columns: list[np.ndarray]) -> pa.RecordBatch:
+        coarse, band, key, size, first, second = columns
+        row, anchor = anchors_of(coarse, fingerprints(first, second, band))
+        order = np.argsort(anchor, kind="stable")
+        row, anchor = row[order], anchor[order]
+        # Anchors with one fingerprint are dropped before anything is copied to them.
+        same = anchor[1:] == anchor[:-1]
+        several = np.append(same, False) | np.append(False, same)
+        row, anchor = row[several], anchor[several]
+        zero = np.zeros(len(row), np.int64)
+        a, b = close_pairs([anchor, zero, zero, key[row], size[row], first[row], second[row]], threshold)
+        pairs = np.unique(np.stack((a, b), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["rep_a", "rep_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ready = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]
+            if held is not None:
+                ready = [np.concatenate(x) for x in zip(held, ready)]
+            # The last key may go on in the next batch.
+            at = int(np.searchsorted(ready[0], ready[0][-1], side="left"))
+            held = [x[at:] for x in ready]
+            yield met([x[:at] for x in ready])
+        if held is not None:
+            yield met(held)
+
+    return rows.select(names).repartition("coarse").sortWithinPartitions("coarse").mapInArrow(run, "rep_a bigint, rep_b bigint").where("rep_a < rep_b")
+
+
 def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(rep_a, rep_b)``: pairs that meet at an anchor and whose sketches are close enough.
 
-    ``reps``: materialised rows of ``SIGNATURE`` (used several times).
+    ``reps``: materialised rows of ``SIGNATURE`` (used several times).  Records meet alike whatever the
+    size of their coarse key; a key of more than BLOCK is only evaluated anchor by anchor, in the
+    cluster, and not in one task.
     """
     tables = reps.select(F.posexplode("coarse").alias("band", "coarse"), "id", "n_shingles", "sketch", "sketch2")
-    several = lambda df, key, most: df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key, F.ceil(F.col("n") / F.lit(most)).cast("int").alias("slices"))
-    # Who is alone under a coarse key, or alone at an anchor, meets nobody; only the keys are
-    # shuffled to find that out.
-    joint = materialise(several(tables.select("coarse"), "coarse", 1).drop("slices"), "coarse")
+    count = F.count(F.lit(1))
+    # Who is alone under a coarse key meets nobody; only the keys are shuffled to find that out.
+    joint = materialise(tables.select("coarse").groupBy("coarse").agg(count.alias("n")).where("n > 1"), "coarse")
     live = tables.join(checked_broadcast(joint), "coarse")
-    met = materialise(several(replicate(live, bare=True), "anchor", BLOCK), "anchors")
-    sliced = replicate(live).join(checked_broadcast(met), "anchor").withColumn("own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-    # A row of slice s joins the blocks (s, x) and (x, s); with one slice that is one block.
-    other = sliced.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    block = F.least("own", "other").cast("bigint") * F.lit(1 << 32) + F.greatest("own", "other")
-    return _meet(other.withColumn("block", block), threshold).distinct()
+    pairs = _local_pairs(live.where(F.col("n") <= BLOCK), threshold)
+    crowded = joint.where(F.col("n") > BLOCK)
+    if not crowded.isEmpty():
+        large = tables.join(checked_broadcast(crowded), "coarse")
+        # Nor does who is alone at an anchor.
+        met = materialise(replicate(large, bare=True).groupBy("anchor").agg(count.alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("slices")), "anchors")
+        sliced = replicate(large).join(checked_broadcast(met), "anchor").withColumn("own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+        # A row of slice s joins the blocks (s, x) and (x, s); with one slice that is one block.
+        other = sliced.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        block = F.least("own", "other").cast("bigint") * F.lit(1 << 32) + F.greatest("own", "other")
+        pairs = pairs.unionByName(_meet(other.withColumn("block", block), threshold))
+    return pairs.distinct()
 
 
 def shingle_sets(contents: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,8 @@ LOSS, LEAST_TREES = 0.01, 8
 LEAF_ROWS = 8192
 CELL_ROWS = 32_768
 CELLS_A_TASK = 2
+#: Trees whose copies of the rows lie on disk at once.
+TREES_AT_ONCE = 12
 #: The top of each tree is fitted on at most so many projected rows.
 SAMPLE_ROWS = 100_000
 #: Queries and other rows of one block of the plan with a query set, at most; blocks of fewer rows
@@ -457,30 +460,40 @@ def similar_neighbours(rows: DataFrame, least: float, k: int = K, id_col: str =
     tops = [Tree(held @ projection(dimension, TREE_COORDINATES, SEED + t), cells) for t in range(trees)]
     shared = spark.sparkContext.broadcast([(t.depth, t.axis, t.value) for t in tops])  # at most 2 * cells numbers a tree, cells = rows / CELL_ROWS
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = []
-        for depth, axis, value in shared.value:
-            t = Tree.__new__(Tree)
-            t.depth, t.axis, t.value = depth, axis, value
-            known.append(t)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix([v.as_py() for v in batch.column(1)], dimension)
-            packed = _packed(x)
-            for t, tree in enumerate(known):
-                cell = tree.cell(x @ projection(dimension, TREE_COORDINATES, SEED + t))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(cell, pa.int32()), batch.column(0), pa.array(packed, pa.binary())], names=["tree", "cell", "id", "unit"])
+    def sender(first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = []
+            for t, (depth, axis, value) in list(enumerate(shared.value))[first : first + TREES_AT_ONCE]:
+                tree = Tree.__new__(Tree)
+                tree.depth, tree.axis, tree.value = depth, axis, value
+                known.append((t, tree, projection(dimension, TREE_COORDINATES, SEED + t)))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _matrix([v.as_py() for v in batch.column(1)], dimension)
+                packed = pa.array(_packed(x), pa.binary())
+                for t, tree, p in known:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(tree.cell(x @ p), pa.int32()), batch.column(0), packed], names=["tree", "cell", "id", "unit"])
+
+        return send
 
     def search(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
         # Every pair within the rounding of the k-th best comes out; the exact test follows on whole vectors.
         a, b, _, _ = search_cell(_unpacked(cell["unit"], dimension), cell["id"].to_numpy(), least, k, LEAF_ROWS, SEED + key[0], pack_error(dimension))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    sent = reps.mapInArrow(send, "tree int, cell int, id bigint, unit binary")
-    # A few cells a task, however many rows there are; the grouping keeps this partitioning.
-    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-trees * cells // CELLS_A_TASK))
-    pairs = materialise(sent.repartition(tasks, "tree", "cell").groupBy("tree", "cell").applyInPandas(search, "a bigint, b bigint").distinct(), "pairs")
+    # A few cells a task, however many rows there are; the grouping keeps this partitioning.  A few trees
+    # at a time, so that the disk holds no more of their copies at once.
+    found = []
+    for first in range(0, trees, TREES_AT_ONCE):
+        sent = reps.mapInArrow(sender(first), "tree int, cell int, id bigint, unit binary")
+        tasks = max(2 * spark.sparkContext.defaultParallelism, -(-min(TREES_AT_ONCE, trees - first) * cells // CELLS_A_TASK))
+        near = sent.repartition(tasks, "tree", "cell").groupBy("tree", "cell").applyInPandas(search, "a bigint, b bigint")
+        found.append(materialise(near.distinct(), "pairs"))
+        if first + TREES_AT_ONCE < trees:
+            spark.sparkContext._jvm.System.gc()  # the driver drops the shuffle files of what it no longer refers to
+    pairs = reduce(DataFrame.unionByName, found)
+    pairs = pairs.distinct() if len(found) > 1 else pairs
     exact = _verified(pairs, reps, dimension).where(F.col("cosine") >= least)
     both = exact.select(F.col("a").alias("rep"), F.col("b").alias("near"), "cosine").unionByName(exact.select(F.col("b").alias("rep"), F.col("a").alias("near"), "cosine"))
     # Only members that share their class or have a near class can have a neighbour.

@@ -99,6 +99,7 @@ def test_query_set_recall(spark, monkeypatch):
 def test_least_similarity_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CELL_ROWS", 200)
     monkeypatch.setattr(vectors, "LEAF_ROWS", 100)
+    monkeypatch.setattr(vectors, "TREES_AT_ONCE", 3)
     x = _data(2)
     c, top = _brute(x, 10)
     want = {(i, int(j)) for i in range(len(x)) for j in top[i] if c[i, j] >= 0.9}
