@@ -318,20 +318,22 @@ def run_index(store: Store, root: str, config: EngineConfig | None = None, prune
 
     New and changed files (by content hash) are parsed, unchanged ones skipped, and documents
     under the root whose file is gone removed; ``prune_outside_root`` removes all others too.
-    ``only`` restricts the run to one path (M4) or a few: no other file is read or hashed.  ``force``
+    ``only`` restricts the run to one path (M4) or a few, of those under the root: no other file is
+    read or hashed.  ``force``
     parses unchanged files as well.  A file that can't be parsed counts as failed and leaves its
     stored document as it was.  Only the buckets of documents that change are rewritten.
     """
     began = time.perf_counter()
     config = config or EngineConfig()
     store.create()
-    paths = [only] if isinstance(only, str) else only
+    under = (root if "://" in root else source.os.path.abspath(root)).rstrip("/") + "/"
+    paths = None if only is None else [p for p in ([only] if isinstance(only, str) else only) if p.startswith(under)]
     files = source.scan(store.spark, root, config.indexing, config.security, paths=paths)
     stored = store.table("documents").select("path", "hash", "doc_id")
     if paths is not None:
         stored = stored.where(F.col("path").isin(paths))
     elif not prune_outside_root:
-        stored = stored.where(F.col("path").startswith(source.os.path.abspath(root).rstrip("/") + "/") if "://" not in root else F.col("path").startswith(root.rstrip("/") + "/"))
+        stored = stored.where(F.col("path").startswith(under))
     status = materialise(classify(files.select("path", "hash"), stored), "status")
     counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     result = IndexResult(scanned=sum(n for s, n in counts.items() if s != "deleted"), deleted=counts.get("deleted", 0), skipped=0 if force else counts.get("unchanged", 0))

@@ -15,6 +15,10 @@ from folioscope.functions import text as X
 DEFAULT_EXTENSIONS = (".txt", ".md", ".pdf", ".docx", ".doc", ".xlsx", ".xls", ".pptx", ".ppt", ".csv", ".cs", ".ts", ".js", ".cshtml", ".sql", ".json", ".xml")
 
 
+#: Columns of the built-in source of whole files.
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def plain_path(uri):
     """A Hadoop URI column of the local file system as a plain path."""
     return F.regexp_replace(uri, r"^file:/*(?=/)", "")
@@ -52,7 +56,7 @@ def scan(spark: SparkSession, root: str, indexing: IndexingConfig | None = None,
     else:
         there = [p for p in paths if (p.startswith(base.rstrip("/") + "/") or p == base) and _exists(spark, p)]
         # A glob's special characters in a name are meant literally.
-        files = reader.load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in there]) if there else reader.load(base).where(F.lit(False))
+        files = reader.load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in there]) if there else spark.createDataFrame([], FILES)
     path = plain_path(F.col("path"))
     # Segments from the root's own name down, without the file's.
     above = os.path.dirname(base)

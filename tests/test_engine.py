@@ -91,6 +91,11 @@ def test_one_change_rewrites_one_bucket(spark, tree, tmp_path, monkeypatch):
     os.remove(path)
     assert index.run_index(store, str(tree), only=path).deleted == 1 and store.table("documents").count() == 33
     assert index.run_index(store, str(tree), only=path).indexed == 0
+    odd = tree / "docs/odd [1]{a}*?.txt"
+    odd.write_text("a name of special characters")
+    assert index.run_index(store, str(tree), only=[str(odd), str(tree / "docs/n4.txt")]).scanned == 2
+    # A path that isn't under the root is none of this run's business.
+    assert index.run_index(store, str(tree / "src"), only=str(odd)).deleted == 0 and store.table("documents").count() == 34
 
 
 def test_stored_postings_equal_the_scan(spark, tree, tmp_path):
