@@ -54,6 +54,8 @@ RUN = re.compile(r"[^\s\"'`<>,;|(){}\[\]]{6,}")
 
 QUOTED = r"(?P<prefix>[@$NnbfruR]{0,2})(?P<quote>[\"'`])"
 ASSIGN = re.compile(r"[\"'`]?\s?\]?\s*(?:=>|:=|=(?!=)|:(?!:))")
+#: In a connection string, a value that itself begins with the sign.
+VALUE_OF_EQUALS = re.compile(r"=(?==[^=\s\"'])")
 GAP = re.compile(r"[ \t]*(?:(?:[|>][-+]?)?[ \t]*\r?\n[ \t]*(?:-[ \t]+)?)?")
 ENV_OR = re.compile(r"[\w.$?\[\]'\"()]+?\s*(?:\|\||\?\?|\bor\b)\s*")
 STRING = re.compile(r"[@$NnbfruR]{0,2}(?P<quote>[\"'`])(?P<value>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)")
@@ -202,7 +204,7 @@ def _whole_name(text: str, begin: int, end: int) -> str:
 def _after_name(text: str, at: int, name: str, encoder, begin: int = 0) -> Finding | None:
     """The credential that follows a name which begins at ``begin`` and ends at ``at``."""
     ok = lambda value, bare=False: suspicious(value, name, bare, encoder)
-    if m := ASSIGN.match(text, at):
+    if m := ASSIGN.match(text, at) or (begin and text[begin - 1] in SETTING and VALUE_OF_EQUALS.match(text, at)):
         gap = GAP.match(text, m.end())
         at_value = gap.end()
         if (env := ENV_OR.match(text, at_value)) and STRING.match(text, env.end()):

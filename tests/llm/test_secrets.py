@@ -40,9 +40,11 @@ REAL = [
     ("its password is jorkogwRJ until May", "jorkogwRJ"),
     ("| 3 | password zujorroxdFj | 2025 |", "zujorroxdFj"),
     ("senha : zetexubm", "zetexubm"),
+    ("Data Source=x;uid=a;pwd==XHlj%ATY%yq2*A;Encrypt=true", "=XHlj%ATY%yq2*A"),
     ('db.Password = "@Xk29-dks";', "@Xk29-dks"),
 ]
 NONE = [
+    "if (pwd==Other9Value) return;", 'ok = password == "Trellis88x";',
     "CREATE USER bob IDENTIFIED BY '<set-in-vault>';", "12,token,norkasa,2020", "the password LazyDefaultBranch keeps", "password: required", "db_url = redis://bob:$REDIS_PASSWORD@host.invalid/0", "db_password: !secret db_password", "Login password cacheManager",
     'password = "${DB_PASSWORD}"', "export SECRET=", "password: ********", 'ApiKey = Environment.GetEnvironmentVariable("API_KEY");', 'var x = vault.Read("secret/api");',
     '"client_secret": "{{ secret }}"', "CREATE USER bob PASSWORD 'REPLACE_ME';", "sha256: a2e7f93beeef54de0e1877bab3e2acdbfd31ebcb9e58413c1a24aa272c83b580", "PublicKeyToken=9f46d8c1ef7a75f4",
