@@ -49,6 +49,8 @@ HALF_DISTANCE = 1
 #: Records of one anchor that one comparison block holds, and of one coarse key that a task meets.
 BLOCK = 2048
 
+#: Words whose hashes a worker keeps, and the longest that is kept; a full memo is emptied.
+MEMO_WORDS, MEMO_LONGEST = 500_000, 64
 #: Code points of text whose shingles are hashed together.
 BATCH_CHARS = 2_000_000
 
@@ -93,15 +95,18 @@ class Hasher:
             low = (text or "").lower()
             cut.append((_ASCII_WORD if low.isascii() else WORD).findall(low))
         known = self.words
-        if len(known) > 500_000:
+        if len(known) > MEMO_WORDS:
             known.clear()
-        for w in set().union(*cut).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
+        new = set().union(*cut).difference(known)
+        known.update((w, xxhash.xxh64_intdigest(w)) for w in new)
         kept = [k for k, x in enumerate(cut) if len(x) >= max(self.min_words, self.shingle)]
         sizes = np.array([len(cut[k]) for k in kept], np.int64)
+        h = np.fromiter(map(known.__getitem__, chain.from_iterable(cut[k] for k in kept)), np.uint64, int(sizes.sum()))
+        for w in new:
+            if len(w) > MEMO_LONGEST:
+                del known[w]
         if not kept:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        h = np.fromiter(map(known.__getitem__, chain.from_iterable(cut[k] for k in kept)), np.uint64, int(sizes.sum()))
         n = len(h) - self.shingle + 1
         s = h[:n].copy()
         for k in range(1, self.shingle):

@@ -32,8 +32,10 @@ DENSE_RATIO = 2.2
 #: Shortest value of a key or token, and of a password.
 KEY_LENGTH = 12
 PASSWORD_LENGTH = 6
-#: Runs of which a worker keeps whether they are natural; a full memo is emptied.
+#: Runs of which a worker keeps whether they are natural, and the longest that is kept beyond its
+#: batch; a full memo is emptied.
 MEMO_RUNS = 500_000
+MEMO_LONGEST = 128
 
 # Names of credentials, and file kinds in which a bare word is an expression.
 PASSWORD_NAMES = r"passw(?:or)?[dt]|passphrase|pass_?word|pwd|pass|kennwort|contrase(?:ñ|n)a|mot de passe|senha|パスワード|密码|identified\s+by"
@@ -114,17 +116,20 @@ class Naturalness:
     """Which runs of characters of texts are unnatural: few characters a subword."""
 
     def __init__(self, encoder: Encoder) -> None:
-        self.encoder, self.known = encoder, {}
+        self.encoder, self.known, self.long = encoder, {}, []
 
     def learn(self, texts: list[str]) -> list[bool]:
         """Count the runs of the texts in subwords, and tell which texts hold an unnatural one."""
         runs = [set(RUN.findall(t)) for t in texts]
         known = self.known
+        for r in self.long:
+            known.pop(r, None)
         if len(known) > MEMO_RUNS:
             known.clear()
         new = list(set().union(*runs).difference(known))
         # Behind a space, as words mostly are in text: there a natural word is one subword.
         known.update((r, len(r) < RUN_RATIO * n) for r, n in zip(new, self.encoder.count_batch([f" {r}" for r in new])))
+        self.long = [r for r in new if len(r) > MEMO_LONGEST]
         return [any(map(known.__getitem__, x)) for x in runs]
 
     def unnatural(self, text: str) -> list[tuple[int, int]]:

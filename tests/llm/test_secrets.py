@@ -71,6 +71,9 @@ def test_unnatural_runs_come_first(encoder):
     texts = ["the natural words of a sentence", f"see {KEY} there", "", "password = 'information'"]
     assert natural.learn(texts) == [False, True, False, False]
     assert [texts[1][a:b] for a, b in natural.unnatural(texts[1])] == [KEY]
+    long = KEY * 10
+    assert natural.learn([long]) == [True] and natural.unnatural(long) == [(0, len(long))] and long in natural.known
+    assert natural.learn(["short text"]) == [False] and long not in natural.known and KEY in natural.known
     text = f"api_key = '{KEY}'"
     assert secrets.find_secrets(text, encoder) and not secrets.find_secrets(text, encoder, []) and not secrets.find_secrets(text, encoder, [(0, 7)])
 
