@@ -403,10 +403,12 @@ def trees_for(rows: int, least: float, loss: float = LOSS, leaf_rows: int = LEAF
     each halving of the rows down to a leaf is one split.  The number grows with about the 0.22th
     power of the rows at a cosine of 0.9.
     """
+    if not 0.0 < least <= 1.0:
+        raise ValueError("the least similarity must be above 0 and at most 1")
     splits = math.ceil(math.log2(max(rows / leaf_rows, 1.0)))
     if not splits:
         return 1
-    together = (1.0 - math.acos(least) / math.pi) ** splits
+    together = min((1.0 - math.acos(least) / math.pi) ** splits, 1.0 - loss)
     return max(LEAST_TREES, math.ceil(math.log(loss) / math.log(1.0 - together)))
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.llm import vectors
@@ -81,6 +82,10 @@ def test_trees_follow_the_rows():
     assert vectors.trees_for(8_000, 0.9) == 1 and vectors.trees_for(30_000, 0.9) == 8
     numbers = [vectors.trees_for(10**p, 0.9) for p in range(4, 10)]
     assert numbers == sorted(numbers) and numbers[-1] > 30
+    assert vectors.trees_for(10**6, 1.0) == 8 and vectors.trees_for(10**6, 0.99) < vectors.trees_for(10**6, 0.5)
+    for wrong in (0.0, -1.0, 1.1):
+        with pytest.raises(ValueError):
+            vectors.trees_for(10**6, wrong)
     splits = np.ceil(np.log2(10**8 / vectors.LEAF_ROWS))
     assert (1 - (1 - np.arccos(0.9) / np.pi) ** splits) ** vectors.trees_for(10**8, 0.9) <= vectors.LOSS
 
